@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.canonical import map_to_list
+from ledgerloom.llm.leakage import leaked_passages
 from ledgerloom.operators.bounded import broadcast_if_bounded
 from ledgerloom.sources.tables import table
 
@@ -39,5 +40,19 @@ def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join(m, ["contract_id", "description"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_resolution": p1_resolution, "p1_unmatched": p1_unmatched}
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_passages(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that hold a passage of an evaluation item."""
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per evaluation item the documents that it leaked into and the longest stretch in words."""
+    return _leaks(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("words").alias("longest"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_resolution": p1_resolution, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_report": p6_report}
 SQL: dict[str, str] = {}
