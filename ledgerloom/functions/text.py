@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Blanks that are cut off around values (white space, no-break and zero-width blanks).
+#: Blanks that are cut off around values (white space, no-break and zero-width blanks), as characters and as a pattern.
+BLANK_CHARS = " \t\n\x0b\x0c\r\u00a0\u2007\u202f\u200b\ufeff"
 BLANKS = r"[\s\u00A0\u2007\u202F\u200B\uFEFF]"
 
 
 def strip_blanks(c: Column) -> Column:
     """c without surrounding blanks of any kind; null stays null."""
-    return F.regexp_replace(c, rf"^{BLANKS}++|(?<!{BLANKS}){BLANKS}++$", "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def key_of(c: Column) -> Column:

@@ -50,12 +50,13 @@ def orphan_references(children: DataFrame, parents: DataFrame, record: Column, r
     An empty parent table makes every reference missing; an empty child table gives no rows.
     """
     c = children.select(record.cast("string").alias("src_key"), ref.alias("ref_key"), F.coalesce(F.col(child_loaded).cast("timestamp_ntz"), _last()).alias("t")).where("ref_key is not null")
-    c = c.groupBy("src_key", "ref_key").agg(F.min("t").alias("t"))
+    # The last t of all rows is that of a repeat at times; then a key is doubted that needn't be, and judged exactly below.
     keys = c.groupBy("ref_key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     there = existence(parents, parent_key, parent_loaded, parent_deleted)
     spans = there.groupBy("key").agg(F.min("start").alias("first"), F.count("*").alias("n"), F.max("end").alias("last"))
     doubtful = keys.join(spans, F.col("ref_key") == F.col("key"), "left").where(F.col("key").isNull() | ~((F.col("n") == 1) & (F.col("first") <= F.col("t0")) & (F.col("t1") < F.col("last"))))
-    back = c.join(doubtful.select("ref_key", F.col("key").isNotNull().alias("known"), "first"), "ref_key")
+    doubtful = doubtful.select("ref_key", F.col("key").isNotNull().alias("known"), "first")
+    back = c.join(doubtful, "ref_key").groupBy("src_key", "ref_key", "known", "first").agg(F.min("t").alias("t"))
     missing = back.where("not known").select("src_key", "ref_key", "t", F.lit("missing").alias("orphan_kind"))
     kept = back.where("known")
     dead = kept.join(there, (F.col("ref_key") == F.col("key")) & (F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")), "left_anti")

@@ -35,9 +35,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """References of lines, invoices and labels that didn't hold when their record came."""
     lines, invoices, labels, contracts = (table(spark, sf, x) for x in ("line_items", "invoices", "hospital_1_labels", "dim_contract"))
-    pair = lambda: F.when(key_of(F.col("contract_id")).isNotNull() & key_of(F.col("source_seq")).isNotNull(), F.struct(key_of(F.col("contract_id")).alias("c"), key_of(F.col("source_seq")).alias("s")))
-    text = lambda: F.concat_ws("\u001f", pair()["c"], pair()["s"])
-    joined = lambda: F.when(pair().isNotNull(), text())
+    joined = lambda: F.concat(key_of(F.col("contract_id")), F.lit("\u001f"), key_of(F.col("source_seq")))
     parts = [
         ("line_items", orphan_references(lines, invoices, F.col("line_id"), joined(), joined()).withColumn("ref_key", F.substring_index("ref_key", "\u001f", -1))),
         ("invoices", orphan_references(invoices, contracts, F.col("source_seq"), key_of(F.col("contract_number")), key_of(F.col("contract_number")))),
