@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/ledgerloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for an application, wherever the driver has it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerloom_shipped", False):
+        return
+    sc._ledgerloom_shipped = True
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
