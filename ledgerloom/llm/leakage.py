@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import ship_package
+
 #: The masks. Completeness as said above holds for at least MIN_WORDS words and one edit in PER_EDIT.
 MASKS = ("1111111", "1111110111111")
 MIN_WORDS, PER_EDIT = 20, 10
@@ -175,6 +177,7 @@ def leaked_passages(documents: DataFrame, doc_id: str, text: str, items: DataFra
     kinds = {f.name: f.dataType for f in items.schema.fields} | {f"d:{f.name}": f.dataType for f in documents.schema.fields}
     schema = T.StructType([T.StructField("doc_id", kinds[f"d:{doc_id}"]), T.StructField("item_id", kinds[item_id]), T.StructField("words", T.IntegerType())])
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    ship_package(documents.sparkSession)
     result = None
     for b in range(blocks):
         own = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.canonical import map_to_list
 from ledgerloom.llm.leakage import leaked_passages
+from ledgerloom.llm.mixing import draw_mixture, mixture_report, source_name, token_counts
+from ledgerloom.llm.pairs import defective_pairs
+from ledgerloom.llm.splitting import split_oversized
 from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.session import written
 from ledgerloom.sources.tables import table
 
 
@@ -54,5 +58,38 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_resolution": p1_resolution, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_report": p6_report}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The defective pairs of question and answer with their defect."""
+    may_decline = F.col("qtype").isin("off_topic", "foreign_service")
+    return defective_pairs(table(spark, sf, "qa_results"), "qa_id", "question", "answer", may_decline).select(F.col("pair_id").alias("qa_id"), "defect")
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Defects per kind, with how many of the pairs the automatic grader had passed."""
+    graded = table(spark, sf, "qa_results").select("qa_id", "passed")
+    return p5_found(spark, sf).join(graded, "qa_id").groupBy("defect").agg(F.count("*").alias("n_pairs"), F.count(F.when(F.col("passed"), 1)).alias("n_passed"))
+
+
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf, "documents").select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    counted = written(token_counts(d, "text"), "tokens")
+    return draw_mixture(counted, "doc_id", F.col("source"), "n_tokens", table(spark, sf, "source_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares wanted, feasible and reached by source."""
+    return mixture_report(*_mixture(spark, sf))
+
+
+def p7_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents drawn and how often each comes."""
+    return _mixture(spark, sf)[0]
+
+
+def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of every document over the limit of its source."""
+    return split_oversized(table(spark, sf, "documents"), "doc_id", "text", source_name(F.col("source")), table(spark, sf, "source_targets"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_resolution": p1_resolution, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_report": p6_report, "p7_shares": p7_shares, "p7_draws": p7_draws, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
