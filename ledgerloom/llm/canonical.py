@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.session import ship_package, written
 
 #: Jaccard of skeleton pairs from which an entry is a candidate.
 MIN_JACCARD = 0.25
@@ -52,33 +53,35 @@ def skeleton_sets(value: Column) -> Column:
 def prefix_join(values: DataFrame, entries: DataFrame, min_jaccard: float) -> DataFrame:
     """(vid, eid, jaccard): the pairs of one block whose sets have at least that Jaccard similarity.
 
-    values: (block, vid, toks), entries: (block, eid, toks); toks are sets. Both sides are ordered by global rarity of
-    the tokens in the list (tokens of values that the list lacks come first: they are rarest of all and match nothing),
-    and joined on (block, token) of their prefixes. Empty sets match nothing.
+    values: (block, vid, toks), entries: (block, eid, toks); toks are sets, vid and eid unique numbers. Both sides are
+    ordered by global rarity of the tokens in the list (tokens of values that the list lacks come first: they are rarest
+    of all and match nothing), and joined on (block, token) of their prefixes. Empty sets match nothing. All steps on
+    pairs are keyed by vid first, so the values are shuffled by it once.
     """
     t = min_jaccard
     df = entries.select(F.explode("toks").alias("tok")).groupBy("tok").count()
-    # (tok -> rank) as one sorted array would need a global sort; (count, tok) is an equally global order without one.
-    ranked = lambda d, key: (
-        d.select("block", key, F.size("toks").alias("n"), F.explode("toks").alias("tok"))
-        .join(broadcast_if_bounded(df), "tok", "left")
-        .groupBy("block", key, "n")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "tok"))).alias("o"))
-    )
-    keep = lambda n: n - F.ceil(n * t) + 1
-    v, e = ranked(values, "vid"), ranked(entries, "eid")
-    vp = v.select("block", "vid", F.col("n").alias("vn"), F.posexplode(F.slice("o", F.lit(1), keep(F.col("n")).cast("int"))).alias("vpos", "x")).select("block", "vid", "vn", "vpos", F.col("x.tok").alias("tok")).join(broadcast_if_bounded(df.select("tok")), "tok", "left_semi")
-    ep = e.select("block", "eid", F.col("n").alias("en"), F.posexplode(F.slice("o", F.lit(1), keep(F.col("n")).cast("int"))).alias("epos", "x")).select("block", "eid", "en", "epos", F.col("x.tok").alias("tok"))
-    pairs = vp.join(broadcast_if_bounded(ep), ["block", "tok"])
+
+    def prefixes(d: DataFrame, key: str, n: str, pos: str) -> DataFrame:
+        # (count, token) is a global order without a global sort.
+        o = (
+            d.select("block", key, F.explode("toks").alias("tok"))
+            .join(broadcast_if_bounded(df), "tok", "left")
+            .groupBy(key)
+            .agg(F.first("block").alias("block"), F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "tok"))).alias("o"))
+        )
+        size = F.size("o")
+        return o.select("block", key, size.alias(n), F.posexplode(F.slice("o", F.lit(1), (size - F.ceil(size * t) + 1).cast("int"))).alias(pos, "x")).where("x.c > 0").select("block", key, n, pos, F.col("x.tok").alias("tok"))
+
+    pairs = prefixes(values, "vid", "vn", "vpos").join(broadcast_if_bounded(prefixes(entries, "eid", "en", "epos")), ["block", "tok"])
     # Length filter, then positional filter: the tokens from this one on must still allow the overlap needed.
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("vn") + F.col("en")))
     pairs = pairs.where((F.col("en") >= F.col("vn") * t) & (F.col("vn") >= F.col("en") * t))
     # The first common token of a pair has the smallest position on both sides, so one row per pair decides.
-    pairs = pairs.groupBy("block", "vid", "eid", "vn", "en").agg(F.min("vpos").alias("vpos"), F.min("epos").alias("epos"))
+    pairs = pairs.groupBy("vid", "eid").agg(F.first("vn").alias("vn"), F.first("en").alias("en"), F.min("vpos").alias("vpos"), F.min("epos").alias("epos"))
     pairs = pairs.where(1 + F.least(F.col("vn") - F.col("vpos") - 1, F.col("en") - F.col("epos") - 1) >= need)
-    exact = pairs.join(broadcast_if_bounded(entries.select("block", "eid", F.col("toks").alias("etoks"))), ["block", "eid"]).join(values.select("block", "vid", F.col("toks").alias("vtoks")), ["block", "vid"])
+    exact = pairs.join(values.select("vid", F.col("toks").alias("vtoks")), "vid").join(broadcast_if_bounded(entries.select("eid", F.col("toks").alias("etoks"))), "eid")
     common = F.size(F.array_intersect("vtoks", "etoks"))
-    return exact.select("block", "vid", "eid", (common / (F.col("vn") + F.col("en") - common)).alias("jaccard")).where(F.col("jaccard") >= t)
+    return exact.select("vid", "eid", (common / (F.col("vn") + F.col("en") - common)).alias("jaccard")).where(F.col("jaccard") >= t)
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -265,11 +268,14 @@ def map_to_list(values: DataFrame, block: str, value: str, entries: DataFrame, e
     e = entries.select(F.col(entry_block).alias("block"), F.col(entry).alias("entry")).where("block is not null and entry is not null").distinct()
     v = values.select(F.col(block).alias("block"), F.col(value).alias("value")).where("block is not null and value is not null").distinct()
     v = v.join(broadcast_if_bounded(e.withColumnRenamed("entry", "value")), ["block", "value"], "left_anti")
-    vs = v.select("block", F.col("value").alias("vid"), skeleton_sets(F.col("value")).alias("toks"))
-    es = e.select("block", F.col("entry").alias("eid"), skeleton_sets(F.col("entry")).alias("toks"))
-    pairs = prefix_join(vs, es, min_jaccard)
-    grouped = pairs.groupBy("block", "vid").agg(F.sort_array(F.collect_list(F.struct("jaccard", "eid")), asc=False).alias("candidates"))
-    read = v.join(grouped.withColumnRenamed("vid", "value"), ["block", "value"], "left")
+    # The different values are few beside the rows; written once, they keep their numbers and the rows are read once.
+    number = F.monotonically_increasing_id()
+    v = written(v.select("block", "value", number.alias("vid"), skeleton_sets(F.col("value")).alias("toks")), "values")
+    e = written(e.select("block", "entry", number.alias("eid"), skeleton_sets(F.col("entry")).alias("toks")), "entries")
+    pairs = prefix_join(v.select("block", "vid", "toks"), e.select("block", "eid", "toks"), min_jaccard)
+    named = pairs.join(broadcast_if_bounded(e.select("eid", "entry")), "eid")
+    grouped = named.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("jaccard", "entry")), asc=False).alias("candidates"))
+    read = v.select("block", "value", "vid").join(grouped, "vid", "left").drop("vid")
 
     plain = F.translate(F.lower("entry"), MARKED, PLAIN)
     found = e.select(F.explode(F.split(plain, "[^a-z0-9]+")).alias("w")).where("length(w) >= 2").distinct().limit(MAX_LIST_WORDS + 1).collect()
@@ -281,8 +287,9 @@ def map_to_list(values: DataFrame, block: str, value: str, entries: DataFrame, e
         vocabulary = Vocabulary(shared.value)
         split = lru_cache(100_000)(lambda s: tuple(words_of(s)))
         for b in batches:
-            out = [choose(x, [(c["eid"], split(c["eid"]), c["jaccard"]) for c in (cs if cs is not None else ())], vocabulary) for x, cs in zip(b["value"], b["candidates"])]
+            out = [choose(x, [(c["entry"], split(c["entry"]), c["jaccard"]) for c in (cs if cs is not None else ())], vocabulary) for x, cs in zip(b["value"], b["candidates"])]
             yield pd.DataFrame({"block": b["block"], "value": b["value"], "match": [m for m, _ in out], "confidence": [c for _, c in out]})
 
+    ship_package(e.sparkSession)
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("value", T.StringType()), T.StructField("match", T.StringType()), T.StructField("confidence", T.DoubleType())])
     return read.mapInPandas(read_batches, schema)
