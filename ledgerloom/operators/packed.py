@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import BLANKS, strip_blanks
 from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.session import written
 
 #: Characters tried as delimiters. The first group is usual in lists and starts with one occurrence in its
 #: favour, the second starts with one against it.
@@ -73,6 +74,7 @@ def infer_delimiters(df: DataFrame, value: str, source: Column | None = None, mi
     """
     src = F.coalesce(source.cast("string"), F.lit("")) if source is not None else F.lit("")
     fields = df.select(src.alias("source"), _kinds(unbracketed(F.col(value))).alias("k")).where("k is not null and k <> ''").groupBy("source", "k").count()
+    fields = written(fields, "packed")  # few patterns of kinds, read several times below
     main = fields.groupBy("source").agg(*[F.sum(F.regexp_count("k", F.lit(x)) * F.col("count")).alias(x) for x in "cnp"])
     usual = F.when((F.col("c") >= F.col("n")) & (F.col("c") >= F.col("p")), "c").when(F.col("n") >= F.col("p"), "n").otherwise("p")
     fields = fields.join(broadcast_if_bounded(main.select("source", usual.alias("usual"))), "source")
