@@ -72,8 +72,9 @@ def draw_mixture(documents: DataFrame, doc_id: str, source: Column, n_tokens: st
 
     targets: source, target_share, max_repeats. The mixture's size is total_tokens, or else the tokens that the listed
     sources have. Documents of other or null sources, and those without tokens, aren't drawn. Rows repeated under one id
-    are documents of their own. Null shares and repeats count as 0. Each source's tokens differ from the plan by at
-    most half of one document. The same seed draws the same documents, however the table is partitioned.
+    are documents of their own. Null shares and repeats count as 0. The part of a
+    source that comes once more is filled in hash order and then by the one document nearest in size to what still
+    lacks. The same seed draws the same documents, however the table is partitioned.
     """
     spark = documents.sparkSession
     rows = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").limit(MAX_SOURCES + 1).collect()
@@ -105,9 +106,16 @@ def draw_mixture(documents: DataFrame, doc_id: str, source: Column, n_tokens: st
     d = d.withColumn("once_more", inside)
     in_order = Window.partitionBy("source").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = d.where("once_more is null").withColumn("cum", F.sum("n_tokens").over(in_order))
-    edge = edge.withColumn("once_more", (F.col("cum") - F.col("n_tokens") / 2 <= F.col("still")).cast("int")).drop("cum")
+    edge = edge.withColumn("once_more", (F.col("cum") <= F.col("still")).cast("int")).drop("cum")
     d = d.where("once_more is not null").unionByName(edge)
-    draws = d.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("once_more")).cast("int").alias("times")).where("times > 0")
+    # What the fraction still lacks is made up by the one document left out whose size comes nearest to it.
+    short = edge.groupBy("source").agg((F.first("still") - F.sum(F.col("n_tokens") * F.col("once_more"))).alias("lack"))
+    apart = F.abs(F.col("n_tokens") - F.col("lack"))
+    last = d.where("once_more = 0").join(F.broadcast(short), "source").where(apart < F.col("lack"))
+    last = last.groupBy("source").agg(F.min(F.struct(apart.alias("apart"), "h", "doc_id", "n_tokens")).alias("m")).select("source", "m.doc_id", "m.n_tokens", F.lit(1).alias("last"))
+    d = d.join(F.broadcast(last), ["source", "doc_id", "n_tokens"], "left")
+    times = F.col("whole") + F.col("once_more") + F.when(F.col("once_more") == 0, F.coalesce("last", F.lit(0))).otherwise(0)
+    draws = d.select("doc_id", "source", "n_tokens", times.cast("int").alias("times")).where("times > 0")
     return draws, plan
 
 
