@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries import problems
+from ledgerloom.queries import problems, reference
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **problems.SQL}
