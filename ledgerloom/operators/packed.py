@@ -56,7 +56,7 @@ def unbracketed(c: Column) -> Column:
 
 def _kinds(c: Column) -> Column:
     """The field with every piece between candidates replaced by its kind: q quoted, c code, n number, p phrase."""
-    s = F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}\"'\\])(?:{_DOUBLE}|{_SINGLE})(?={BLANKS}*(?:$|[^\p{{L}}\p{{N}}\s\"']))", _MASK)
+    s = F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}\"'\\])(?:{_DOUBLE}|{_SINGLE})(?=[ \u00a0]*+(?:$|[^\p{{L}}\p{{N}} \u00a0\"']))", _MASK)
     edge, end = f"(?<=^|[{_ALL}])[ \u00a0]*+", f"[ \u00a0]*+(?=$|[{_ALL}])"
     s = F.regexp_replace(s, f"{edge}{_MASK}{end}", "\ue001")
     s = F.regexp_replace(s, f"{edge}[0-9]+(?:[.][0-9]+)?{end}", "\ue003")
