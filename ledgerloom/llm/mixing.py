@@ -33,13 +33,13 @@ def source_name(c: Column) -> Column:
 
 
 def token_counts(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str = tokens.DEFAULT) -> DataFrame:
-    """df's other columns with the token count of `text`, which is dropped; null texts have none, empty ones 0."""
-    keep = [f for f in df.schema.fields if f.name != text]
+    """df's other columns with the token count of `text` as `out`; both names go from the others; null texts have none, empty ones 0."""
+    keep = [f for f in df.schema.fields if f.name not in (text, out)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = pd.array([None if t is None else tokens.count(t, tokenizer) for t in b[text]], dtype="Int64")
-            yield b.drop(columns=[text]).assign(**{out: n})
+            yield b[[f.name for f in keep]].assign(**{out: n})
 
     ship_package(df.sparkSession)
     return df.mapInPandas(run, T.StructType([*keep, T.StructField(out, T.LongType())]))
