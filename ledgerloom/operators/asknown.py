@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.operators.bounded import lookup_join
 
 
 def as_known_snapshots(versions: DataFrame, keys: list[str], valid_from: str, valid_to: str, known_from: str, order: str, values: list[str], period: str = "month") -> DataFrame:
@@ -45,7 +45,7 @@ def as_known_join(events: DataFrame, versions: DataFrame, on: dict[str, str], da
     hi = versions.agg(F.date_trunc(period, F.max(known_from)).cast("date").alias("__hi"))
     e = events.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(keep)], *[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], day.alias("__day")).where("__day is not null")
     e = e.join(F.broadcast(hi)).withColumn("__period", F.least(F.date_trunc(period, "__day").cast("date"), F.col("__hi")))
-    joined = e.join(broadcast_if_bounded(renamed), [f"__k{i}" for i in range(len(keys))] + ["__period"])
+    joined = lookup_join(e, renamed, [f"__k{i}" for i in range(len(keys))] + ["__period"])
     valid = lambda x: (x["a"].isNull() | (x["a"] <= F.col("__day"))) & (x["b"].isNull() | (x["b"] >= F.col("__day")))
     replayed = F.filter(F.concat("__snapshot", F.filter("__changes", lambda x: x["known"] <= F.col("__day"))), valid)
     best = joined.withColumn("__best", F.array_max(replayed)).where("__best is not null")

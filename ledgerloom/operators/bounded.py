@@ -1,8 +1,8 @@
-"""Broadcasts only behind a check of the size."""
+"""Broadcasts only behind a check of the size, and salted joins beyond it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; a row of the tables that are broadcast has well under 1 kB.
@@ -17,3 +17,34 @@ def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
 def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is small, else df as it is, so that the join shuffles (and AQE splits hot keys)."""
     return F.broadcast(df) if is_bounded(df, max_rows) else df
+
+#: Copies of the small side of a salted join; a key with a third of all rows is spread over as many tasks.
+SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salt_of: list[str] | None = None, also: Column | None = None, salts: int = SALTS) -> DataFrame:
+    """big joined with small on equal columns, each key of big spread over `salts` partitions and small repeated as often.
+
+    how: inner, left, left_semi or left_anti. salt_of: columns of big that differ within a key (all, if not given).
+    `also` is a further condition. Null keys match nothing. Nothing is dropped or repeated in the result.
+    """
+    spread = F.pmod(F.xxhash64(*(salt_of or big.columns)), F.lit(salts))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    left = big.withColumn("__salt", spread)
+    if also is None:
+        return left.join(copies, [*on, "__salt"], how).drop("__salt")
+    renamed = copies.select(*[F.col(c).alias(f"__r_{c}") if c in [*on, "__salt"] else F.col(c) for c in copies.columns])
+    condition = also
+    for c in [*on, "__salt"]:
+        condition = condition & (F.col(c) == F.col(f"__r_{c}"))
+    return left.join(renamed, condition, how).drop("__salt", *[f"__r_{c}" for c in [*on, "__salt"]])
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salt_of: list[str] | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """big joined with small on equal columns: small is broadcast if it is bounded, else the join is salted.
+
+    Checking the bound runs what makes `small`; write it first where that is dear.
+    """
+    if is_bounded(small, max_rows):
+        return big.join(F.broadcast(small), on, how)
+    return salted_join(big, small, on, how, salt_of)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.bounded import broadcast_if_bounded, lookup_join, salted_join
+from ledgerloom.session import written
+
 
 def _at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
@@ -55,11 +58,12 @@ def orphan_references(children: DataFrame, parents: DataFrame, record: Column, r
     there = existence(parents, parent_key, parent_loaded, parent_deleted)
     spans = there.groupBy("key").agg(F.min("start").alias("first"), F.count("*").alias("n"), F.max("end").alias("last"))
     doubtful = keys.join(spans, F.col("ref_key") == F.col("key"), "left").where(F.col("key").isNull() | ~((F.col("n") == 1) & (F.col("first") <= F.col("t0")) & (F.col("t1") < F.col("last"))))
-    doubtful = doubtful.select("ref_key", F.col("key").isNotNull().alias("known"), "first")
-    back = c.join(doubtful, "ref_key").groupBy("src_key", "ref_key", "known", "first").agg(F.min("t").alias("t"))
+    doubtful = written(doubtful.select("ref_key", F.col("key").isNotNull().alias("known"), "first"), "doubtful")
+    back = lookup_join(c, doubtful, ["ref_key"], salt_of=["src_key"]).groupBy("src_key", "ref_key", "known", "first").agg(F.min("t").alias("t"))
     missing = back.where("not known").select("src_key", "ref_key", "t", F.lit("missing").alias("orphan_kind"))
     kept = back.where("known")
-    dead = kept.join(there, (F.col("ref_key") == F.col("key")) & (F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")), "left_anti")
+    spans = there.withColumnRenamed("key", "ref_key").join(broadcast_if_bounded(doubtful.where("known").select("ref_key")), "ref_key", "left_semi")
+    dead = salted_join(kept, spans, ["ref_key"], "left_anti", ["src_key"], (F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")))
     dead = dead.select("src_key", "ref_key", "t", F.when(F.col("first") > F.col("t"), "late").otherwise("deleted").alias("orphan_kind"))
     return missing.unionByName(dead).select("src_key", "ref_key", "orphan_kind", F.when(F.col("t") < _last(), F.col("t")).alias("loaded"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import BLANKS, strip_blanks
-from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.operators.bounded import broadcast_if_bounded, lookup_join
 from ledgerloom.session import written
 
 #: Characters tried as delimiters. The first group is usual in lists and starts with one occurrence in its
@@ -108,7 +108,7 @@ def split_packed(df: DataFrame, keys: list[str], value: str, out: str = "value",
     escaped = F.regexp_replace("delimiters", r"([^\p{L}\p{N}\s])", r"\\$1")
     stop = F.when(escaped == "", F.lit(_MASK)).otherwise(escaped)
     pattern = F.concat(F.lit(rf"{BLANKS}*+{_QUOTED}(?={BLANKS}*(?:$|["), stop, F.lit("]))|[^"), stop, F.lit("]+"))
-    rows = rows.join(broadcast_if_bounded(delimiters.select("__source", pattern.alias("__pattern"))), "__source", "left")
+    rows = lookup_join(rows, delimiters.select("__source", pattern.alias("__pattern")), ["__source"], "left")
     pieces = F.regexp_extract_all("__v", F.coalesce("__pattern", F.lit(r"(?s).+")), F.lit(0))
     values = F.filter(F.transform(pieces, lambda p: strip_blanks(_unquoted(strip_blanks(p)))), lambda p: p != "")
     return rows.select(*[F.col(f"__key{i}").alias(x) for i, x in enumerate(keys)], F.posexplode(values).alias("__p", out)).select(*keys, (F.col("__p") + 1).cast("int").alias(pos), out)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.bounded import lookup_join
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or null."""
@@ -38,10 +40,9 @@ def pivoted(df: DataFrame, by: str, across: str, names: list[str], value: Column
 
 
 def extremes(df: DataFrame, keys: list[str], value: str, largest: bool = True) -> DataFrame:
-    """All rows of each group that hold its largest (smallest) value, ties included; null values hold none."""
-    w = Window.partitionBy(*keys)
-    best = (F.max if largest else F.min)(value).over(w)
-    return df.withColumn("__b", best).where(F.col(value) == F.col("__b")).drop("__b")
+    """All rows of each group that hold its largest (smallest) value, ties included; null values and null keys hold none."""
+    best = df.groupBy(*keys).agg((F.max if largest else F.min)(value).alias(value)).where(F.col(value).isNotNull())
+    return lookup_join(df, best, [*keys, value], "left_semi")
 
 
 def grouping_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
