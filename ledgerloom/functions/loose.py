@@ -50,3 +50,35 @@ def envelope(v: Column, record_key: str = "service") -> Column:
     has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
     renamed = has("data") | has("items") | has("rows") | has("results")
     return F.when(v.isNull(), "empty").when(kind.startswith("ARRAY"), "bare_list").when(has("services"), "ok").when(renamed, "renamed").when(has(record_key), "single_object").otherwise("empty")
+
+
+def lenient_day(c: Column) -> Column:
+    """A day from the first ten characters; null if they are none."""
+    return F.try_to_date(F.regexp_extract(F.trim(c), r"\A([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})", 1), "yyyy-M-d")
+
+
+def money_forms(cents: Column) -> Column:
+    """The ways an amount may be written: 123456, 123,456, 1234.56 and 1,234.56."""
+    whole, rest = F.floor(cents / 100), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0")
+    return F.array(cents.cast("string"), F.format_number(cents, 0), F.concat_ws(".", whole.cast("string"), rest), F.concat_ws(".", F.format_number(whole, 0), rest))
+
+
+def states_any(text: Column, forms: Column) -> Column:
+    """Whether a text has one of the forms, not inside a longer number."""
+    return F.exists(forms, lambda f: F.rlike(text, F.concat(F.lit(r"(?<![0-9.,])"), F.regexp_replace(f, r"\.", r"\\."), F.lit(r"(?![0-9]|[.,][0-9])"))))
+
+
+def rate_periods(v: Column) -> Column:
+    """The dated rates of a record (variant) in any of three forms, as array<struct<cents, valid_from, valid_to>>.
+
+    rates: [{cents, valid_from, valid_to}]; or rate with rate_after and change_date (two periods, the first ending the
+    day before); or rate alone (one open period). Null if the record has none of them.
+    """
+    kind = "array<struct<cents:bigint,valid_from:date,valid_to:date>>"
+    get = lambda p, t: F.try_variant_get(v, f"$.{p}", t)
+    day, none = lenient_day(get("change_date", "string")), F.lit(None).cast("date")
+    period = lambda c, a, b: F.struct(c.alias("cents"), a.alias("valid_from"), b.alias("valid_to"))
+    rate, after = get("rate", "bigint"), get("rate_after", "bigint")
+    listed = get("rates", "array<struct<cents:bigint,valid_from:string,valid_to:string>>")
+    listed = F.transform(listed, lambda r: period(r["cents"], lenient_day(r["valid_from"]), lenient_day(r["valid_to"])))
+    return F.when(F.size(listed) > 0, listed).when(after.isNotNull() & day.isNotNull(), F.array(period(rate, none, F.date_sub(day, 1)), period(after, day, none))).when(rate.isNotNull(), F.array(period(rate, none, none))).cast(kind)

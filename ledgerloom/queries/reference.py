@@ -652,3 +652,67 @@ def rounding_policies(spark: SparkSession, sf: str) -> DataFrame:
     c, up, down = F.col("rate_cents").cast("decimal(18,0)"), F.lit("1.075").cast("decimal(4,3)"), F.lit("0.95").cast("decimal(3,2)")
     stepwise, once = F.round(F.round(c * up, 0).cast("decimal(18,0)") * down, 0), F.round(c * up * down, 0)
     return table(spark, sf, "dim_rate").agg(F.count("*").alias("n"), F.count(F.when(stepwise.cast("long") != once.cast("long"), 1)).alias("n_differ"))
+
+
+@query("SELECT contract_id, service, rate_ord, CAST(rate_cents AS VARCHAR) || '|' || format('{:,}', rate_cents) || '|' || CAST(rate_cents // 100 AS VARCHAR) || '.' || lpad(CAST(rate_cents % 100 AS VARCHAR), 2, '0') || '|' || format('{:,}', rate_cents // 100) || '.' || lpad(CAST(rate_cents % 100 AS VARCHAR), 2, '0') AS forms FROM dim_rate")
+def money_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every way in which a rate may be written."""
+    return table(spark, sf, "dim_rate").select("contract_id", "service", "rate_ord", F.array_join(loose.money_forms(F.col("rate_cents")), "|").alias("forms"))
+
+
+@query("""WITH a AS (SELECT DISTINCT contract_id, service FROM resolution WHERE service IS NOT NULL), b AS (SELECT contract_id, service FROM dim_service),
+j AS (SELECT coalesce(a.contract_id, b.contract_id) AS contract_id, a.service IS NOT NULL AND b.service IS NOT NULL AS s, b.service IS NULL AS i, a.service IS NULL AS m FROM a FULL JOIN b ON a.contract_id = b.contract_id AND a.service = b.service),
+c AS (SELECT contract_id, count(*) FILTER (s) AS tp, count(*) FILTER (i) AS fp, count(*) FILTER (m) AS fn FROM j GROUP BY ALL)
+SELECT contract_id, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 3) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 3) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 3) AS f1 FROM c""")
+def list_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision and recall of the services an earlier run named, per contract."""
+    a = table(spark, sf, "resolution").where("service is not null").select("contract_id", "service")
+    return scores.set_scores(a, table(spark, sf, "dim_service"), ["contract_id", "service"], ["contract_id"])
+
+
+@query(r"""SELECT contract_number, min(regexp_extract(text, 'clause ([0-9]+)\.', 1)) FILTER (regexp_matches(text, 'clause ([0-9]+)\.')) AS clause, min(regexp_extract(text, 'RPA-H([0-9]+)-', 1)) FILTER (regexp_matches(text, 'RPA-H([0-9]+)-')) AS party,
+ (count(DISTINCT regexp_extract(text, 'clause ([0-9]+)\.', 1)) FILTER (regexp_matches(text, 'clause ([0-9]+)\.')) <= 1) AND (count(DISTINCT regexp_extract(text, 'RPA-H([0-9]+)-', 1)) FILTER (regexp_matches(text, 'RPA-H([0-9]+)-')) <= 1) AS agree FROM documents GROUP BY ALL""")
+def header_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields that the documents of one contract name, and whether they agree."""
+    from ledgerloom.sources.documents import header_fields as read
+
+    return read(table(spark, sf, "documents"), "contract_number", "text", {"clause": r"clause ([0-9]+)\.", "party": r"RPA-H([0-9]+)-"})
+
+
+@query("""WITH {base}, c AS (SELECT contract_id, source_seq, count(*) AS n_lines, CAST(sum(line_total_cents) AS BIGINT) AS lines_total, string_agg(line_id, '|' ORDER BY line_id) AS line_ids FROM l WHERE source_seq IS NOT NULL GROUP BY ALL)
+SELECT i.contract_id, i.source_seq, i.patient_id, i.invoice_total_cents, c.n_lines, c.lines_total, c.line_ids FROM i LEFT JOIN c USING (contract_id, source_seq) WHERE i.source_seq LIKE '%77'""")
+def explained_invoices(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoices asked for (sequence ending in 77) with all their lines in one row; an invoice has few."""
+    lines = _lines(spark, sf).where("source_seq like '%77'").groupBy("contract_id", "source_seq").agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("lines_total"), F.array_join(F.array_sort(F.collect_list("line_id")), "|").alias("line_ids"))
+    return _invoices(spark, sf).where("source_seq like '%77'").join(lines, ["contract_id", "source_seq"], "left").select("contract_id", "source_seq", "patient_id", "invoice_total_cents", "n_lines", "lines_total", "line_ids")
+
+
+@query("""SELECT contract_id, 'service,unit_basis,daily_cap' || chr(10) || string_agg(service || ',' || unit_basis || ',' || coalesce(CAST(daily_cap AS VARCHAR), ''), chr(10) ORDER BY service_ord) AS text FROM dim_service GROUP BY ALL""")
+def rules_as_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The services of each contract as CSV text."""
+    from ledgerloom.sources.documents import csv_text
+
+    return csv_text(table(spark, sf, "dim_service"), "contract_id", ["service", "unit_basis", "daily_cap"], "service_ord")
+
+
+@query()
+def vector_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors on their first two principal components."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    e = table(spark, sf, "embeddings").withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+    p = vector_to_array("components")
+    return PCA(k=2, inputCol="features", outputCol="components").fit(e).transform(e).select("vec_id", "label", p[0].alias("first"), p[1].alias("second"))
+
+
+@query()
+def cluster_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    """Silhouette (cosine) of k-means clusters of the vectors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(spark, sf, "embeddings").withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+    s = ClusteringEvaluator(distanceMeasure="cosine").evaluate(KMeans(k=8, seed=7, maxIter=10).fit(e).transform(e))
+    return spark.createDataFrame([(8, float(s))], "k int, silhouette double")
