@@ -48,9 +48,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: later stages start from the files, whatever executors are lost."""
     path = f"{shared_folder(df.sparkSession)}/ledgerloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that this application has written to the shared folder; results that still read them are lost."""
+    jvm, n = spark._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for an application, wherever the driver has it from."""
     sc = spark.sparkContext

@@ -39,3 +39,25 @@ def test_bounds(spark):
     assert is_bounded(df, 10) and not is_bounded(df, 9)
     assert "broadcast" in broadcast_if_bounded(df, 10)._jdf.queryExecution().toString().lower()
     assert "broadcast" not in broadcast_if_bounded(df, 9)._jdf.queryExecution().toString().lower()
+
+
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    from ledgerloom import session
+
+    df = session.written(spark.range(5).withColumn("x", F.lit(None).cast("string")), "test")
+    path = session._written[-1]
+    assert df.count() == 5 and os.path.isdir(path.removeprefix("file://"))
+    assert session.clear_written(spark) >= 1 and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from ledgerloom.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
