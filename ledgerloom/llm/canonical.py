@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.operators.bounded import lookup_join
 from ledgerloom.session import ship_package, written
 
 #: Jaccard of skeleton pairs from which an entry is a candidate.
@@ -35,7 +35,7 @@ MAX_LIST_WORDS = 200_000
 MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 #: Letters that look alike in print, as read by a scanner (first) and as meant (second).
-LOOKALIKES = (("0", "o"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("rn", "m"), ("vv", "w"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("li", "h"), ("l", "i"), ("c", "e"))
+LOOKALIKES = (("0", "o"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("ri", "n"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("li", "h"), ("l", "i"), ("c", "e"))
 
 
 def skeleton_sets(value: Column) -> Column:
@@ -65,21 +65,22 @@ def prefix_join(values: DataFrame, entries: DataFrame, min_jaccard: float) -> Da
         # (count, token) is a global order without a global sort.
         o = (
             d.select("block", key, F.explode("toks").alias("tok"))
-            .join(broadcast_if_bounded(df), "tok", "left")
+            .transform(lambda x: lookup_join(x, df, ["tok"], "left", [key]))
             .groupBy(key)
             .agg(F.first("block").alias("block"), F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "tok"))).alias("o"))
         )
         size = F.size("o")
         return o.select("block", key, size.alias(n), F.posexplode(F.slice("o", F.lit(1), (size - F.ceil(size * t) + 1).cast("int"))).alias(pos, "x")).where("x.c > 0").select("block", key, n, pos, F.col("x.tok").alias("tok"))
 
-    pairs = prefixes(values, "vid", "vn", "vpos").join(broadcast_if_bounded(prefixes(entries, "eid", "en", "epos")), ["block", "tok"])
+    pairs = lookup_join(prefixes(values, "vid", "vn", "vpos"), prefixes(entries, "eid", "en", "epos"), ["block", "tok"], salt_of=["vid"])
     # Length filter, then positional filter: the tokens from this one on must still allow the overlap needed.
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("vn") + F.col("en")))
     pairs = pairs.where((F.col("en") >= F.col("vn") * t) & (F.col("vn") >= F.col("en") * t))
     # The first common token of a pair has the smallest position on both sides, so one row per pair decides.
     pairs = pairs.groupBy("vid", "eid").agg(F.first("vn").alias("vn"), F.first("en").alias("en"), F.min("vpos").alias("vpos"), F.min("epos").alias("epos"))
     pairs = pairs.where(1 + F.least(F.col("vn") - F.col("vpos") - 1, F.col("en") - F.col("epos") - 1) >= need)
-    exact = pairs.join(values.select("vid", F.col("toks").alias("vtoks")), "vid").join(broadcast_if_bounded(entries.select("eid", F.col("toks").alias("etoks"))), "eid")
+    exact = pairs.join(values.select("vid", F.col("toks").alias("vtoks")), "vid")
+    exact = lookup_join(exact, entries.select("eid", F.col("toks").alias("etoks")), ["eid"], salt_of=["vid"])
     common = F.size(F.array_intersect("vtoks", "etoks"))
     return exact.select("vid", "eid", (common / (F.col("vn") + F.col("en") - common)).alias("jaccard")).where(F.col("jaccard") >= t)
 
@@ -267,13 +268,13 @@ def map_to_list(values: DataFrame, block: str, value: str, entries: DataFrame, e
     """
     e = entries.select(F.col(entry_block).alias("block"), F.col(entry).alias("entry")).where("block is not null and entry is not null").distinct()
     v = values.select(F.col(block).alias("block"), F.col(value).alias("value")).where("block is not null and value is not null").distinct()
-    v = v.join(broadcast_if_bounded(e.withColumnRenamed("entry", "value")), ["block", "value"], "left_anti")
+    v = lookup_join(v, e.withColumnRenamed("entry", "value"), ["block", "value"], "left_anti")
     # The different values are few beside the rows; written once, they keep their numbers and the rows are read once.
     number = F.monotonically_increasing_id()
     v = written(v.select("block", "value", number.alias("vid"), skeleton_sets(F.col("value")).alias("toks")), "values")
     e = written(e.select("block", "entry", number.alias("eid"), skeleton_sets(F.col("entry")).alias("toks")), "entries")
     pairs = prefix_join(v.select("block", "vid", "toks"), e.select("block", "eid", "toks"), min_jaccard)
-    named = pairs.join(broadcast_if_bounded(e.select("eid", "entry")), "eid")
+    named = lookup_join(pairs, e.select("eid", "entry"), ["eid"], salt_of=["vid"])
     grouped = named.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("jaccard", "entry")), asc=False).alias("candidates"))
     read = v.select("block", "value", "vid").join(grouped, "vid", "left").drop("vid")
 
