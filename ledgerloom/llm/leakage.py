@@ -155,6 +155,12 @@ def longest(doc: list[int], item: list[int], i: int, j: int) -> tuple[int, int]:
     """The longest stretch of the item around the hit (i, j) within the tolerance, and where the run at the hit ends in the item."""
     while i > 0 and j > 0 and doc[i - 1] == item[j - 1] and doc[i - 1]:
         i, j = i - 1, j - 1
+    # Some MIN_WORDS words of any stretch within the tolerance have the average number of edits at most; from a hit in
+    # them as many edits either way cover them, but for edits at their ends. Other hits needn't be followed further.
+    near = MIN_WORDS // PER_EDIT
+    first = _reach(doc, item, i, j, 1, near)
+    if first[-1] + _reach(doc, item, i - 1, j - 1, -1, near)[-1] < MIN_WORDS - near:
+        return 0, j + first[0]
     most = max(len(item), MIN_WORDS) // PER_EDIT
     right, left = _reach(doc, item, i, j, 1, most), _reach(doc, item, i - 1, j - 1, -1, most)
     best = 0
