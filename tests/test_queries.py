@@ -58,3 +58,12 @@ def test_the_core_knows_nothing_of_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "ledgerloom.llm" not in p.read_text(), p
+
+
+@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p4_found", "cap_extremes", "price_candidates", "audit_report", "grounded_names"])
+def test_nothing_changes_beyond_the_broadcast_bound(spark, monkeypatch, name):
+    from ledgerloom.operators import bounded
+
+    want = values(catalog.QUERIES[name](spark, DATA).toPandas())
+    monkeypatch.setattr(bounded, "is_bounded", lambda *a: False)
+    assert values(catalog.QUERIES[name](spark, DATA).toPandas()) == want
