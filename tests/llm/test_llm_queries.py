@@ -19,3 +19,12 @@ def test_query_runs(spark, name):
     assert got.count() > 0
     if name in COLUMNS:
         assert got.dtypes == COLUMNS[name]
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p5_found", "p7_shares", "p8_pieces"])
+def test_nothing_changes_beyond_the_broadcast_bound(spark, monkeypatch, name):
+    from ledgerloom.operators import bounded
+
+    want = sorted(map(str, QUERIES[name](spark, DATA).collect()))
+    monkeypatch.setattr(bounded, "is_bounded", lambda *a: False)
+    assert sorted(map(str, QUERIES[name](spark, DATA).collect())) == want
