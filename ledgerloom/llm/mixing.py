@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.text import strip_blanks
 from ledgerloom.llm import tokens
-from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.operators.bounded import lookup_join
 from ledgerloom.session import ship_package, written
 
 #: Sources with a target up to which the water-filling is worked out on the driver.
@@ -101,7 +101,7 @@ def draw_mixture(documents: DataFrame, doc_id: str, source: Column, n_tokens: st
     before = F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
     edges = sums.withColumn("before", before).join(F.broadcast(plan.select("source", "rest")), "source").where("before < rest and before + t >= rest")
     edges = edges.select("source", F.col("bucket").alias("edge"), (F.col("rest") - F.col("before")).alias("still"))
-    d = docs.join(F.broadcast(plan.select("source", "whole", "rest")), "source").join(broadcast_if_bounded(edges), "source", "left")
+    d = docs.join(F.broadcast(plan.select("source", "whole", "rest")), "source").transform(lambda x: lookup_join(x, edges, ["source"], "left", ["doc_id", "h"]))
     inside = F.when(F.col("rest") <= 0, 0).when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), 1).when(F.col("bucket") > F.col("edge"), 0)
     d = d.withColumn("once_more", inside)
     in_order = Window.partitionBy("source").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)

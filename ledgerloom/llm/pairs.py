@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.bounded import lookup_join
 from ledgerloom.session import ship_package, written
 
 #: Labels that stand before the parts of a response; the first group introduces the answer itself.
@@ -312,5 +313,5 @@ def defective_pairs(pairs: DataFrame, pair_id: str, prompt: str, answer: str, ma
     between = (F.col("go_on") >= min_go_on) & (F.col("n") <= end_share * (F.col("n") + F.col("go_on")))
     inside = (F.col("top.word") != F.col("last")) & F.startswith(F.col("top.word"), F.col("last")) & (F.col("top.n") >= min_go_on) & (F.col("n") <= end_share * (F.col("n") + F.col("top.n")))
     cut = j.where(F.coalesce(between, F.lit(False)) | F.coalesce(inside, F.lit(False))).select("words")
-    broken = judged.where("defect is null").join(cut, "words", "left_semi").select("pair_id", F.lit("truncated").alias("defect"))
+    broken = lookup_join(judged.where("defect is null"), written(cut, "cut"), ["words"], "left_semi", ["pair_id"]).select("pair_id", F.lit("truncated").alias("defect"))
     return known.unionByName(broken)

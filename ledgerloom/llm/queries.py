@@ -10,7 +10,7 @@ from ledgerloom.llm.leakage import leaked_passages
 from ledgerloom.llm.mixing import draw_mixture, mixture_report, source_name, token_counts
 from ledgerloom.llm.pairs import defective_pairs
 from ledgerloom.llm.splitting import split_oversized
-from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.operators.bounded import lookup_join
 from ledgerloom.session import written
 from ledgerloom.sources.tables import table
 
@@ -25,9 +25,9 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     services = table(spark, sf, "dim_service").select("contract_id", F.col("service").alias("description")).distinct()
     lines = table(spark, sf, "line_items").select("line_id", "contract_id", "description", "loaded_at").where("line_id is not null and description is not null")
     # Copies of a line carry the same description; the earliest counts.
-    lines = lines.join(broadcast_if_bounded(services), ["contract_id", "description"], "left_anti")
+    lines = lookup_join(lines, services, ["contract_id", "description"], "left_anti", ["line_id"])
     mapped = _mapped(spark, sf).select(F.col("block").alias("contract_id"), F.col("value").alias("description"), F.coalesce("match", F.lit("")).alias("service"))
-    found = lines.join(mapped, ["contract_id", "description"], "left")
+    found = lookup_join(lines, written(mapped, "mapped"), ["contract_id", "description"], "left", ["line_id"])
     return found.groupBy("line_id").agg(F.min(F.struct("loaded_at", F.coalesce("service", F.lit("")).alias("service"))).alias("m")).select("line_id", "m.service")
 
 

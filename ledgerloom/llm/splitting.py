@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm import tokens
 from ledgerloom.llm.mixing import source_name
-from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.operators.bounded import lookup_join
 from ledgerloom.session import ship_package
 
 #: Where a text may be cut, per level; a cut is at the end of a match.
@@ -37,22 +39,17 @@ LEVELS = tuple(
 
 
 class Offsets:
-    """Where the tokens of a text begin, in characters."""
+    """The tokens of a text, and where they begin in characters."""
 
     def __init__(self, text: str, tokenizer: str):
         e = tokens.encoding(tokenizer)
-        starts, at = [], 0
-        for s in tokens.stretches(text):
-            size = e.decode_tokens_bytes(e.encode_ordinary(s))
-            if s.isascii():
-                for b in size:
-                    starts.append(at)
-                    at += len(b)
-            else:
-                for b in size:
-                    starts.append(at)
-                    at += sum((x & 0xC0) != 0x80 for x in b)  # a character counts where its first byte is
-        self.starts, self.end = starts, len(text)
+        self.tokens = [t for s in tokens.stretches(text) for t in e.encode_ordinary(s)]
+        self.tokenizer, self.count, self.end = tokenizer, len(self.tokens), len(text)
+
+    @cached_property
+    def starts(self) -> list[int]:
+        ends = np.cumsum(tokens.char_counts(self.tokenizer)[self.tokens]).tolist()
+        return [0, *ends[:-1]] if ends else []
 
     def before(self, char: int) -> int:
         """Tokens that begin before a character."""
@@ -81,7 +78,7 @@ def _parts(text: str, start: int, end: int, level: int, fits: int, offsets: Offs
                 i = j
 
 
-def split_text(text: str, limit: int, overlap: int, tokenizer: str = tokens.DEFAULT) -> list[tuple[int, int, int, int]]:
+def split_text(text: str, limit: int, overlap: int, tokenizer: str = tokens.DEFAULT, offsets: Offsets | None = None) -> list[tuple[int, int, int, int]]:
     """(start of the overlap, start of the new text, end, tokens) of each piece of a text.
 
     Every piece has at most `limit` tokens, counted on the piece by itself. The overlap is the end of the piece before,
@@ -90,7 +87,7 @@ def split_text(text: str, limit: int, overlap: int, tokenizer: str = tokens.DEFA
     """
     limit, overlap = max(1, limit), max(0, min(overlap, limit - 1))
     count = lambda a, b: tokens.count(text[a:b], tokenizer)
-    offsets = Offsets(text, tokenizer)
+    offsets = offsets or Offsets(text, tokenizer)
     parts = list(_parts(text, 0, len(text), 0, max(1, limit - overlap), offsets))
     ends = [b for _, b in parts]
     out: list[tuple[int, int, int, int]] = []
@@ -165,7 +162,7 @@ def split_oversized(documents: DataFrame, doc_id: str, text: str, source: Column
     null and empty texts and texts whose source has no limit give no rows. Rows repeated under one id are split each.
     """
     own = limits.select(source_name(F.col("source")).alias("__source"), F.col("max_tokens").cast("int").alias("__max"), F.coalesce(F.col("overlap_tokens").cast("int"), F.lit(0)).alias("__overlap")).where("__source is not null and __max > 0")
-    d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), source.alias("__source")).join(broadcast_if_bounded(own), "__source").drop("__source")
+    d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), source.alias("__source")).transform(lambda x: lookup_join(x, own, ["__source"], salt_of=["doc_id"])).drop("__source")
     # A token has at least one byte: texts of no more bytes than the limit can't exceed it.
     d = d.where(F.octet_length("text") > F.col("__max"))
 
@@ -173,8 +170,9 @@ def split_oversized(documents: DataFrame, doc_id: str, text: str, source: Column
         for b in batches:
             rows = []
             for i, t, most, over in zip(b["doc_id"], b["text"], b["__max"], b["__overlap"]):
-                if tokens.count(t, tokenizer) > most:
-                    rows += [(i, k, t[s:e], n, s, w, e) for k, (s, w, e, n) in enumerate(split_text(t, int(most), int(over), tokenizer), 1)]
+                offsets = Offsets(t, tokenizer)
+                if offsets.count > most:
+                    rows += [(i, k, t[s:e], n, s, w, e) for k, (s, w, e, n) in enumerate(split_text(t, int(most), int(over), tokenizer, offsets), 1)]
                 if len(rows) > 2000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []

@@ -6,6 +6,7 @@ import base64
 import os
 from functools import cache
 
+import numpy as np
 import tiktoken
 
 #: Fixed value: how byte-level BPE vocabularies of this family split texts before merging.
@@ -22,6 +23,13 @@ def encoding(path: str = DEFAULT) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def char_counts(path: str = DEFAULT) -> np.ndarray:
+    """For each token how many characters begin in it (a character's further bytes count for nothing)."""
+    e = encoding(path)
+    return np.array([sum((x & 0xC0) != 0x80 for x in e.decode_single_token_bytes(i)) for i in range(e.n_vocab)], np.int32)
+
+
 #: Characters that are encoded at a time; longer texts are cut at a blank before a word, where no token goes across.
 STRETCH = 20_000
 
