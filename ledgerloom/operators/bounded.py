@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; a row of the tables that are broadcast has well under 1 kB.
-MAX_BROADCAST_ROWS = 200_000
+#: Rows and bytes (of all values written as text) up to which a side may be broadcast.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 64 * 1024 * 1024
 
 
-def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows; counts no further than one more."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes; looks no further than one row more."""
+    size = reduce(add, [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in df.columns])
+    r = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
+    return r.n <= max_rows and (r.b or 0) <= max_bytes
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is small, else df as it is, so that the join shuffles (and AQE splits hot keys)."""
     return F.broadcast(df) if is_bounded(df, max_rows) else df
 
+
 #: Copies of the small side of a salted join; a key with a third of all rows is spread over as many tasks.
 SALTS = 16
 

@@ -61,3 +61,8 @@ def test_a_cluster_needs_a_shared_folder():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: conf))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(cluster)
+
+
+def test_bytes_are_bounded_too(spark):
+    df = spark.range(3).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit("y")).alias("a"), F.struct(F.lit(1).alias("z")).alias("s"))
+    assert is_bounded(df, 3, 4000) and not is_bounded(df, 3, 3000) and is_bounded(df.limit(0), 0, 0)
