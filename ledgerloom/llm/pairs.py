@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +75,8 @@ STOPWORDS = {
 OPEN_ENDS = frozenset("the a an of and or but by for to in on at with from per until than as is are was were be been if that which its their not no more most into under over after before because since while each any every these those this first second both will may can must shall would should GBP".lower().split()) - {"no", "not", "first", "second", "more", "most", "both", "can", "may", "this", "that", "is", "any"}
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’.,:/-][^\W_]+)*")
+_NAME = re.compile(r"\b[A-Z][\w'-]*")
+_NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _LABEL = re.compile(r"(?im)(?:^|(?<=\s))[*_#>\s]*(%s)\s*:[*_]*" % "|".join([*ANSWER_LABELS, *OTHER_LABELS]))
 
 
@@ -81,8 +84,13 @@ def tokens_of(s: str) -> list[str]:
     return _TOKEN.findall(s.lower())
 
 
+_ODD = re.compile(r"[^\x20-\x7e\n\r\t]")
+
+
 def plain(s: str) -> str:
     """The text in composed form, without characters that show nothing."""
+    if not _ODD.search(s):
+        return s
     return "".join(c for c in unicodedata.normalize("NFKC", s) if c in "\n\r\t" or unicodedata.category(c) not in ("Cf", "Cc", "Co", "Cn"))
 
 
@@ -99,23 +107,25 @@ def answer_part(answer: str) -> str:
     return "\n".join(parts).strip()
 
 
+_LONGEST = max(map(len, PLACEHOLDERS)) + 1
+
+
 def is_empty(part: str) -> bool:
-    bare = "".join(c for c in part if c.isalnum()).lower()
+    bare = "".join(islice((c for c in part if c.isalnum()), _LONGEST)).lower()
     return bare in PLACEHOLDERS
 
 
 def common_length(a: list[str], b: list[str]) -> int:
-    """The length of the longest common subsequence."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
+    """The length of the longest common subsequence, by the bits of one whole number per text."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << i
+    full = v = (1 << len(b)) - 1
     for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return row[-1]
+        u = v & places.get(x, 0)
+        if u:
+            v = (v + u | v - u) & full
+    return len(b) - v.bit_count()
 
 
 def shingles(t: list[str], k: int = 3) -> set[tuple[str, ...]]:
@@ -126,23 +136,27 @@ def without_prompt(prompt: list[str], answer: str) -> str:
     """The answer without a repetition of the prompt at its head."""
     rest = answer
     while True:
-        found = list(_TOKEN.finditer(rest))
+        if len(prompt) < 3:
+            return rest
+        found = list(islice(_TOKEN.finditer(rest), len(prompt) + 4))
         t = [m.group().lower() for m in found]
+        if len(t) < len(prompt):
+            return rest
         skip = next((len(r) for r in sorted((r.split() for r in REPEATS), key=len, reverse=True) if t[: len(r)] == r and t[len(r) : len(r) + 2] == prompt[:2]), 0)
         head = t[skip : skip + len(prompt)]
-        if len(prompt) < 3 or len(head) < len(prompt) or common_length(head, prompt) < 0.9 * len(prompt):
+        if len(head) < len(prompt) or common_length(head, prompt) < 0.9 * len(prompt):
             return rest
         rest = rest[found[skip + len(prompt) - 1].end() :].lstrip("?.!\"'”’»: \n\r\t")
         if not rest:
             return ""
 
 
-def is_copy(prompt: list[str], part: str) -> bool:
-    """Whether the answer gives back the prompt and nothing else."""
+def is_copy(prompt: list[str], part: str, own: str) -> bool:
+    """Whether the answer gives back the prompt and nothing else; own is the answer without a repetition at its head."""
     a = tokens_of(part)
     if len(prompt) < 3 or len(a) < 3:
         return False
-    rest = tokens_of(without_prompt(prompt, part))
+    rest = tokens_of(own)
     if len(rest) < len(a):  # a repetition at the head: what follows it is the answer, if anything but the prompt again
         return not rest or (len(rest) >= 0.5 * len(prompt) and common_length(rest, prompt) >= 0.9 * len(rest))
     inside = shingles(a)
@@ -153,7 +167,8 @@ def is_copy(prompt: list[str], part: str) -> bool:
     return c >= 0.85 * len(a) and c >= 0.7 * len(prompt)
 
 
-_TEMPLATES = [[tokens_of(x) for x in t.split("*")] for t in REFUSALS]
+#: Of each refusal the words, how many must be met, how many may be there, and whether it has a gap.
+_TEMPLATES = [(w, frozenset(w), 0.85 * len(w), 1.3 * len(w) + 1 + (8 if "*" in t else 0)) for t in REFUSALS if (w := tokens_of(t.replace("*", " ")))]
 _CUES = re.compile(
     r"\b(?:i|we)(?:'m| am| are|'re)? (?:cannot|can't|can not|won't|will not|unable to|not able to|not permitted to|not allowed to|must decline to|must refuse to|decline to|refuse to|would rather not|prefer not to)\b.{0,30}?\b(?:help|assist|answer|provide|disclose|discuss|share|comment|comply|state|say|give|fulfil|do)\b"
     r"|\bagainst my (?:instructions|rules|guidelines|policy)\b|\bnot comfortable (?:with|doing|answering|providing)\b|\bisn't something i'm comfortable\b",
@@ -167,54 +182,55 @@ def is_refusal(part: str) -> bool:
     t = tokens_of(text)
     if not t or len(t) > 40:
         return False
-    for pieces in _TEMPLATES:
-        whole = [w for p in pieces for w in p]
-        if len(whole) > len(t) + 1 or not set(whole[:3]) & set(t):
-            continue
-        c = common_length(t, whole)
-        room = 8 if len(pieces) > 1 else 0
-        if c >= 0.85 * len(whole) and len(t) <= 1.3 * len(whole) + 1 + room and len(whole) >= 3:
+    have = set(t)
+    for words, different, met, most in _TEMPLATES:
+        if t == words:
             return True
-        if t == whole:
+        if len(words) < 3 or len(t) > most or len(words) > len(t) + 1 or len(different & have) < 0.7 * len(different) or have.isdisjoint(words[:3]):
+            continue
+        if common_length(t, words) >= met:
             return True
     return len(t) <= 30 and bool(_CUES.search(text))
 
 
-@lru_cache(1)
-def _stop() -> dict[str, frozenset[str]]:
-    return {k: frozenset(v) for k, v in STOPWORDS.items()}
+_LANGUAGES = tuple(sorted(STOPWORDS))
+_SPEAKS: dict[str, tuple[str, ...]] = {w: tuple(k for k in _LANGUAGES if w in STOPWORDS[k]) for words in STOPWORDS.values() for w in words}
+#: Ends of code ranges and the language that a script in them stands for ("" for none).
+SCRIPTS = ((0x370, ""), (0x400, "el"), (0x530, "ru"), (0x590, ""), (0x600, "he"), (0x700, "ar"), (0x900, ""), (0x980, "hi"), (0xE00, ""), (0xE80, "th"), (0x3040, ""), (0x3100, "ja"), (0x4E00, ""), (0xA000, "zh"), (0xAC00, ""), (0xD7B0, "ko"))
 
 
 def language(words: list[str], text: str, least: int = 2) -> tuple[str | None, int]:
     """The language of a text and the words by which it leads; (None, 0) if fewer than `least` words speak for one."""
-    scripts = {"ja": 0, "zh": 0, "ko": 0, "ru": 0, "el": 0, "ar": 0, "he": 0, "th": 0, "hi": 0}
-    letters = 0
-    for c in text:
-        if not c.isalpha():
-            continue
-        letters += 1
-        o = ord(c)
-        if o < 0x370:
-            continue
-        k = "el" if o < 0x400 else "ru" if o < 0x530 else "he" if 0x590 <= o < 0x600 else "ar" if 0x600 <= o < 0x700 else "hi" if 0x900 <= o < 0x980 else "th" if 0xE00 <= o < 0xE80 else "ja" if 0x3040 <= o < 0x3100 else "ko" if 0xAC00 <= o < 0xD7B0 else "zh" if 0x4E00 <= o < 0xA000 else None
-        if k:
-            scripts[k] += 1
-    if scripts["ja"]:
-        scripts["ja"] += scripts.pop("zh")
-    best = max(scripts, key=scripts.get)
-    if scripts[best] >= max(2, 0.3 * letters):
-        return best, scripts[best]
-    score = {k: sum(w in s for w in words) for k, s in _stop().items()}
-    order = sorted(score, key=lambda k: (-score[k], k))
-    lead = score[order[0]] - score[order[1]]
-    return (order[0], lead) if score[order[0]] >= least and lead >= 1 else (None, 0)
+    if not text.isascii():
+        scripts: dict[str, int] = {}
+        letters = 0
+        for c in text:
+            if c.isalpha():
+                letters += 1
+                if c > "\u036f":
+                    k = next((k for end, k in SCRIPTS if ord(c) < end), "")
+                    if k:
+                        scripts[k] = scripts.get(k, 0) + 1
+        if "ja" in scripts:
+            scripts["ja"] += scripts.pop("zh", 0)
+        if scripts:
+            best = max(scripts, key=lambda k: (scripts[k], k))
+            if scripts[best] >= max(2, 0.3 * letters):
+                return best, scripts[best]
+    score = dict.fromkeys(_LANGUAGES, 0)
+    for w in words:
+        for k in _SPEAKS.get(w, ()):
+            score[k] += 1
+    first, second = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:2]
+    lead = first[1] - second[1]
+    return (first[0], lead) if first[1] >= least and lead >= 1 else (None, 0)
 
 
 def other_language(prompt: str, part: str) -> bool:
     """Whether the answer is in another language than its prompt; words that both have, such as names, don't count."""
     p, a = tokens_of(prompt), tokens_of(part)
     shared = {w for w in set(p) & set(a)}
-    names = {w.lower() for w in re.findall(r"\b[A-Z][\w'-]*", prompt)} & shared
+    names = {w.lower() for w in _NAME.findall(prompt)} & shared
     lp, _ = language([w for w in p if w not in names], prompt, 1)
     la, lead = language([w for w in a if w not in names], " ".join(w for w in a if w not in names))
     return lp is not None and la is not None and la != lp and lead >= 2
@@ -222,7 +238,7 @@ def other_language(prompt: str, part: str) -> bool:
 
 def wording(prompt: str, answer: str) -> list[str]:
     """The answer's words with numbers as # and names of the prompt as §, for comparison with other answers."""
-    names = {w for w in re.findall(r"\b[A-Z][\w'-]*", prompt)}
+    names = {w for w in _NAME.findall(prompt)}
     out: list[str] = []
     for w in answer.split():
         core = w.strip("\"'“”()[]*.,;:?!")
@@ -233,7 +249,7 @@ def wording(prompt: str, answer: str) -> list[str]:
             else:
                 out.append(w[: w.find(core)] + "§" + tail)
         else:
-            out.append(re.sub(r"\d+(?:[.,:/-]\d+)*", "#", w))
+            out.append(_NUMBER.sub("#", w) if not w.isalpha() else w)
     return out
 
 
@@ -250,7 +266,7 @@ def breaks_off(prompt: str, answer: str) -> bool:
     if last.lower() in OPEN_ENDS and len(s.split()) > 1:
         return True
     # A word of a name in the prompt that stops short, or a name that stops before its last word.
-    caps = re.findall(r"\b[A-Z][\w'-]*", prompt)
+    caps = _NAME.findall(prompt)
     if last.isalpha() and last[0].isupper() and last not in caps and len(last) >= 2 and any(c.startswith(last) for c in caps) and len(s.split()) > 1 and s.split()[-2].strip('"(') in caps:
         return True
     return False
@@ -263,19 +279,29 @@ def _judge(prompt: str | None, answer: str | None, may_decline: bool) -> tuple[s
     if is_empty(part):
         return "empty", None
     p = tokens_of(q)
-    if is_copy(p, part):
+    own = without_prompt(p, part)
+    if is_copy(p, part, own):
         return "copies_question", None
-    own = without_prompt(p, part) or part
+    own = own or part
     if not may_decline and is_refusal(own):
         return "refusal", None
     if other_language(q, own):
         return "other_language", None
-    said = without_prompt(p, a) or a
+    said = own if part == a else without_prompt(p, a) or a
     if breaks_off(q, said):
         return "truncated", None
     return None, wording(q, said)
 
 
+def beginnings(words: list[str]) -> list[int]:
+    """A 64-bit number for each beginning of a wording, from none of its words to all."""
+    h, out = 0, [0]
+    for w in words:
+        h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"), h)
+        out.append(h - (1 << 63))
+    return out
+
+
 #: An answer is cut off if at most this share of the answers that begin with all its words end there, and this many go on.
 END_SHARE, MIN_GO_ON = 0.12, 3
 
@@ -293,25 +319,34 @@ def defective_pairs(pairs: DataFrame, pair_id: str, prompt: str, answer: str, ma
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [_judge(q, a, m) for q, a, m in zip(b["q"], b["a"], b["may"])]
-            yield pd.DataFrame({"pair_id": b["pair_id"], "defect": [d for d, _ in out], "words": [w for _, w in out]})
+            full = pd.array([None if w is None else beginnings(w)[-1] for _, w in out], dtype="Int64")
+            yield pd.DataFrame({"pair_id": b["pair_id"], "defect": [d for d, _ in out], "words": [w for _, w in out], "full": full})
 
-    schema = T.StructType([T.StructField("pair_id", pairs.schema[pair_id].dataType), T.StructField("defect", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for words, n in zip(b["words"], b["n"]):
+                h = beginnings(words)
+                rows += [(h[k], w, k + 1 == len(words), h[k + 1], n) for k, w in enumerate(words)]
+                if len(rows) > 100_000:
+                    yield pd.DataFrame(rows, columns=["begin", "word", "ends", "full", "n"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["begin", "word", "ends", "full", "n"])
+
+    schema = T.StructType([T.StructField("pair_id", pairs.schema[pair_id].dataType), T.StructField("defect", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("full", T.LongType())])
     ship_package(pairs.sparkSession)
     judged = written(rows.mapInPandas(judge, schema), "pairs")
     known = judged.where("defect is not null").select("pair_id", "defect")
-    kinds = judged.where("defect is null").groupBy("words").agg(F.count("*").alias("n")).withColumn("size", F.size("words"))
-    digest = lambda upto: F.xxhash64(F.slice("words", F.lit(1), upto))
+    kinds = judged.where("defect is null").groupBy("full").agg(F.count("*").alias("n"), F.first("words").alias("words"))
     # Every beginning of every wording, with the word that follows.
-    steps = kinds.where("size > 0").select("n", "size", "words", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k")).select(F.when(F.col("k") > 0, digest(F.col("k"))).otherwise(0).alias("begin"), F.element_at("words", F.col("k") + 1).alias("word"), (F.col("size") == F.col("k") + 1).alias("ends"), "n")
-    nexts = steps.groupBy("begin", "word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ends"), 0).otherwise(F.col("n"))).alias("on"))
+    steps = written(kinds.select("words", "n").mapInPandas(step, "begin long, word string, ends boolean, full long, n long"), "steps")
+    nexts = steps.groupBy("begin", "word").agg(F.sum("n").alias("n"))
     begins = nexts.groupBy("begin").agg(F.sum("n").alias("go_on"), F.max(F.struct("n", "word")).alias("top"))
-    ends = kinds.select("words", "n", digest(F.col("size")).alias("full"), F.when(F.col("size") > 1, digest(F.col("size") - 1)).otherwise(0).alias("stem"), F.element_at("words", -1).alias("last"))
-    whole = begins.select(F.col("begin").alias("full"), "go_on")
-    stem = begins.select(F.col("begin").alias("stem"), "top")
-    j = ends.join(whole, "full", "left").join(stem, "stem", "left")
+    ends = steps.where("ends").select("full", "n", F.col("begin").alias("stem"), F.col("word").alias("last"))
+    j = ends.join(begins.select(F.col("begin").alias("full"), "go_on"), "full", "left").join(begins.select(F.col("begin").alias("stem"), "top"), "stem", "left")
     # Cut between words: most answers with all these words go on. Cut inside a word: the usual next word begins with it.
     between = (F.col("go_on") >= min_go_on) & (F.col("n") <= end_share * (F.col("n") + F.col("go_on")))
     inside = (F.col("top.word") != F.col("last")) & F.startswith(F.col("top.word"), F.col("last")) & (F.col("top.n") >= min_go_on) & (F.col("n") <= end_share * (F.col("n") + F.col("top.n")))
-    cut = j.where(F.coalesce(between, F.lit(False)) | F.coalesce(inside, F.lit(False))).select("words")
-    broken = lookup_join(judged.where("defect is null"), written(cut, "cut"), ["words"], "left_semi", ["pair_id"]).select("pair_id", F.lit("truncated").alias("defect"))
+    cut = j.where(F.coalesce(between, F.lit(False)) | F.coalesce(inside, F.lit(False))).select("full")
+    broken = lookup_join(judged.where("defect is null").select("pair_id", "full"), written(cut, "cut"), ["full"], "left_semi", ["pair_id"]).select("pair_id", F.lit("truncated").alias("defect"))
     return known.unionByName(broken)
