@@ -235,10 +235,10 @@ def label_changes(spark: SparkSession, sf: str) -> DataFrame:
     return matching.full_difference(side("a"), side("b"), ["invoice_key"], ["is_erroneous", "expected_total_cents"])
 
 
-@query("SELECT contract_id, service, b AS basis, f AS factor FROM dim_service, unnest(['per_day', 'per_night']) t(b), unnest([1, 2, 3]) u(f) WHERE service_ord < 5")
+@query("SELECT contract_id, service, b AS basis, f AS factor FROM dim_service, unnest(['per_day', 'per_night']) t(b), unnest([1, 2, 3]) u(f)")
 def option_product(spark: SparkSession, sf: str) -> DataFrame:
     """Each service with every combination of its options."""
-    d = table(spark, sf, "dim_service").where("service_ord < 5").select("contract_id", "service", F.array(F.lit("per_day"), F.lit("per_night")).alias("basis"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("factor"))
+    d = table(spark, sf, "dim_service").select("contract_id", "service", F.array(F.lit("per_day"), F.lit("per_night")).alias("basis"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("factor"))
     return matching.product_of_options(d, ["basis", "factor"])
 
 
@@ -515,7 +515,7 @@ SELECT a.qa_id, count(*) AS n_services FROM a JOIN n ON contains(a.t, ' ' || n.k
 def grounded_names(spark: SparkSession, sf: str) -> DataFrame:
     """How many different services of the lists each answer names, by word sequences of the names' own lengths."""
     n = table(spark, sf, "dim_service").select(markup.normal(F.col("service")).alias("k")).distinct().withColumn("size", F.size(F.split("k", " ")))
-    sizes = [r.size for r in n.select("size").distinct().orderBy("size").limit(100).collect()]
+    sizes = [r.size for r in n.select("size").distinct().orderBy("size").collect()]
     words = F.split(markup.normal(F.col("answer")), " ")
     a = table(spark, sf, "qa_results").where("answer is not null").select("qa_id", words.alias("w"))
     of_size = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (s - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, s), " "))
@@ -679,12 +679,12 @@ def header_fields(spark: SparkSession, sf: str) -> DataFrame:
     return read(table(spark, sf, "documents"), "contract_number", "text", {"clause": r"clause ([0-9]+)\.", "party": r"RPA-H([0-9]+)-"})
 
 
-@query("""WITH {base}, c AS (SELECT contract_id, source_seq, count(*) AS n_lines, CAST(sum(line_total_cents) AS BIGINT) AS lines_total, string_agg(line_id, '|' ORDER BY line_id) AS line_ids FROM l WHERE source_seq IS NOT NULL GROUP BY ALL)
-SELECT i.contract_id, i.source_seq, i.patient_id, i.invoice_total_cents, c.n_lines, c.lines_total, c.line_ids FROM i LEFT JOIN c USING (contract_id, source_seq) WHERE i.source_seq LIKE '%77'""")
+@query("""WITH {base}, c AS (SELECT contract_id, source_seq, count(*) AS n_lines, CAST(sum(line_total_cents) AS BIGINT) AS lines_total, count(DISTINCT description) AS n_descriptions, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, min(line_id) AS first_line FROM l WHERE source_seq IS NOT NULL GROUP BY ALL)
+SELECT i.contract_id, i.source_seq, i.patient_id, i.invoice_total_cents, c.n_lines, c.lines_total, c.n_descriptions, c.first_day, c.last_day, c.first_line FROM i LEFT JOIN c USING (contract_id, source_seq)""")
 def explained_invoices(spark: SparkSession, sf: str) -> DataFrame:
-    """Invoices asked for (sequence ending in 77) with all their lines in one row; an invoice has few."""
-    lines = _lines(spark, sf).where("source_seq like '%77'").groupBy("contract_id", "source_seq").agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("lines_total"), F.array_join(F.array_sort(F.collect_list("line_id")), "|").alias("line_ids"))
-    return _invoices(spark, sf).where("source_seq like '%77'").join(lines, ["contract_id", "source_seq"], "left").select("contract_id", "source_seq", "patient_id", "invoice_total_cents", "n_lines", "lines_total", "line_ids")
+    """Every invoice beside what its lines come to."""
+    lines = _lines(spark, sf).where("source_seq is not null").groupBy("contract_id", "source_seq").agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("lines_total"), F.countDistinct("description").alias("n_descriptions"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.min("line_id").alias("first_line"))
+    return _invoices(spark, sf).join(lines, ["contract_id", "source_seq"], "left").select("contract_id", "source_seq", "patient_id", "invoice_total_cents", "n_lines", "lines_total", "n_descriptions", "first_day", "last_day", "first_line")
 
 
 @query("""SELECT contract_id, 'service,unit_basis,daily_cap' || chr(10) || string_agg(service || ',' || unit_basis || ',' || coalesce(CAST(daily_cap AS VARCHAR), ''), chr(10) ORDER BY service_ord) AS text FROM dim_service GROUP BY ALL""")
