@@ -138,6 +138,10 @@ def without_prompt(prompt: list[str], answer: str) -> str:
     while True:
         if len(prompt) < 3:
             return rest
+        # Of the first tenth and one more of the prompt's words one must stand near the head, else no repetition is near enough.
+        k = len(prompt) // 10 + 1
+        if not {m.group().lower() for m in islice(_TOKEN.finditer(rest), 2 * k + 5)}.intersection(prompt[:k]):
+            return rest
         found = list(islice(_TOKEN.finditer(rest), len(prompt) + 4))
         t = [m.group().lower() for m in found]
         if len(t) < len(prompt):
@@ -151,24 +155,27 @@ def without_prompt(prompt: list[str], answer: str) -> str:
             return ""
 
 
-def is_copy(prompt: list[str], part: str, own: str) -> bool:
-    """Whether the answer gives back the prompt and nothing else; own is the answer without a repetition at its head."""
-    a = tokens_of(part)
+def is_copy(prompt: list[str], a: list[str], rest: list[str]) -> bool:
+    """Whether the answer's words a give back the prompt and nothing else; rest is what follows a repetition at its head."""
     if len(prompt) < 3 or len(a) < 3:
         return False
-    rest = tokens_of(own)
     if len(rest) < len(a):  # a repetition at the head: what follows it is the answer, if anything but the prompt again
         return not rest or (len(rest) >= 0.5 * len(prompt) and common_length(rest, prompt) >= 0.9 * len(rest))
-    inside = shingles(a)
-    contained = len(inside & shingles(prompt)) / len(inside)
-    if contained < 0.6:
-        return False
+    if len(a) * 0.85 > len(prompt) or len(prompt) * 0.7 > len(a):
+        return False  # no subsequence is long enough for both
     c = common_length(a, prompt)
-    return c >= 0.85 * len(a) and c >= 0.7 * len(prompt)
+    if c < 0.85 * len(a) or c < 0.7 * len(prompt):
+        return False
+    inside = shingles(a)
+    return len(inside & shingles(prompt)) >= 0.6 * len(inside)
 
 
 #: Of each refusal the words, how many must be met, how many may be there, and whether it has a gap.
 _TEMPLATES = [(w, frozenset(w), 0.85 * len(w), 1.3 * len(w) + 1 + (8 if "*" in t else 0)) for t in REFUSALS if (w := tokens_of(t.replace("*", " ")))]
+_BEGINNING: dict[str, list[tuple]] = {}
+for _t in _TEMPLATES:
+    for _w in set(_t[0][:3]):
+        _BEGINNING.setdefault(_w, []).append(_t)
 _CUES = re.compile(
     r"\b(?:i|we)(?:'m| am| are|'re)? (?:cannot|can't|can not|won't|will not|unable to|not able to|not permitted to|not allowed to|must decline to|must refuse to|decline to|refuse to|would rather not|prefer not to)\b.{0,30}?\b(?:help|assist|answer|provide|disclose|discuss|share|comment|comply|state|say|give|fulfil|do)\b"
     r"|\bagainst my (?:instructions|rules|guidelines|policy)\b|\bnot comfortable (?:with|doing|answering|providing)\b|\bisn't something i'm comfortable\b",
@@ -176,17 +183,17 @@ _CUES = re.compile(
 )
 
 
-def is_refusal(part: str) -> bool:
-    """Whether the answer is a refusal: it follows a template, or a short one declines in the first person."""
-    text = part.replace("’", "'")
-    t = tokens_of(text)
-    if not t or len(t) > 40:
+def is_refusal(part: str, own: list[str]) -> bool:
+    """Whether the answer (as text and words) is a refusal: it follows a template, or a short one declines in the first person."""
+    if not own or len(own) > 40:
         return False
+    text = part.replace("’", "'") if "’" in part else part
+    t = own if text is part else tokens_of(text)
     have = set(t)
-    for words, different, met, most in _TEMPLATES:
+    for words, different, met, most in {id(x): x for w in have for x in _BEGINNING.get(w, ())}.values():
         if t == words:
             return True
-        if len(words) < 3 or len(t) > most or len(words) > len(t) + 1 or len(different & have) < 0.7 * len(different) or have.isdisjoint(words[:3]):
+        if len(words) < 3 or len(t) > most or len(words) > len(t) + 1 or len(different & have) < 0.7 * len(different):
             continue
         if common_length(t, words) >= met:
             return True
@@ -226,14 +233,15 @@ def language(words: list[str], text: str, least: int = 2) -> tuple[str | None, i
     return (first[0], lead) if first[1] >= least and lead >= 1 else (None, 0)
 
 
-def other_language(prompt: str, part: str) -> bool:
-    """Whether the answer is in another language than its prompt; words that both have, such as names, don't count."""
-    p, a = tokens_of(prompt), tokens_of(part)
-    shared = {w for w in set(p) & set(a)}
-    names = {w.lower() for w in _NAME.findall(prompt)} & shared
-    lp, _ = language([w for w in p if w not in names], prompt, 1)
-    la, lead = language([w for w in a if w not in names], " ".join(w for w in a if w not in names))
-    return lp is not None and la is not None and la != lp and lead >= 2
+def other_language(prompt: str, p: list[str], a: list[str]) -> bool:
+    """Whether the answer's words a are in another language than the prompt (words p); names that both have don't count."""
+    names = {w.lower() for w in _NAME.findall(prompt)}.intersection(p, a)
+    mine = [w for w in a if w not in names] if names else a
+    la, lead = language(mine, " ".join(mine))
+    if la is None or lead < 2:
+        return False
+    lp, _ = language([w for w in p if w not in names] if names else p, prompt, 1)
+    return lp is not None and la != lp
 
 
 def wording(prompt: str, answer: str) -> list[str]:
@@ -279,13 +287,14 @@ def _judge(prompt: str | None, answer: str | None, may_decline: bool) -> tuple[s
     if is_empty(part):
         return "empty", None
     p = tokens_of(q)
-    own = without_prompt(p, part)
-    if is_copy(p, part, own):
+    own, t = without_prompt(p, part), tokens_of(part)
+    rest = t if own is part else tokens_of(own)
+    if is_copy(p, t, rest):
         return "copies_question", None
-    own = own or part
-    if not may_decline and is_refusal(own):
+    own, rest = (own, rest) if own else (part, t)
+    if not may_decline and is_refusal(own, rest):
         return "refusal", None
-    if other_language(q, own):
+    if other_language(q, p, rest):
         return "other_language", None
     said = own if part == a else without_prompt(p, a) or a
     if breaks_off(q, said):
