@@ -329,12 +329,13 @@ def defective_pairs(pairs: DataFrame, pair_id: str, prompt: str, answer: str, ma
         for b in batches:
             out = [_judge(q, a, m) for q, a, m in zip(b["q"], b["a"], b["may"])]
             full = pd.array([None if w is None else beginnings(w)[-1] for _, w in out], dtype="Int64")
-            yield pd.DataFrame({"pair_id": b["pair_id"], "defect": [d for d, _ in out], "words": [w for _, w in out], "full": full})
+            yield pd.DataFrame({"pair_id": b["pair_id"], "defect": [d for d, _ in out], "words": [None if w is None else " ".join(w) for _, w in out], "full": full})
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for words, n in zip(b["words"], b["n"]):
+            for text, n in zip(b["words"], b["n"]):
+                words = text.split(" ")
                 h = beginnings(words)
                 rows += [(h[k], w, k + 1 == len(words), h[k + 1], n) for k, w in enumerate(words)]
                 if len(rows) > 100_000:
@@ -342,7 +343,7 @@ def defective_pairs(pairs: DataFrame, pair_id: str, prompt: str, answer: str, ma
                     rows = []
             yield pd.DataFrame(rows, columns=["begin", "word", "ends", "full", "n"])
 
-    schema = T.StructType([T.StructField("pair_id", pairs.schema[pair_id].dataType), T.StructField("defect", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("full", T.LongType())])
+    schema = T.StructType([T.StructField("pair_id", pairs.schema[pair_id].dataType), T.StructField("defect", T.StringType()), T.StructField("words", T.StringType()), T.StructField("full", T.LongType())])
     ship_package(pairs.sparkSession)
     judged = written(rows.mapInPandas(judge, schema), "pairs")
     known = judged.where("defect is not null").select("pair_id", "defect")
