@@ -7,12 +7,19 @@ later in the period). An event joins both of its own period by equality and repl
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.bounded import lookup_join
 
 
+def _last_period(versions: DataFrame, known_from: str, period: str) -> date:
+    """The first day of the last period of the grid (of any period if nothing is known)."""
+    return versions.agg(F.date_trunc(period, F.max(known_from)).cast("date").alias("d")).first().d or date(1970, 1, 1)
+
+
 def as_known_snapshots(versions: DataFrame, keys: list[str], valid_from: str, valid_to: str, known_from: str, order: str, values: list[str], period: str = "month") -> DataFrame:
     """(keys, __period, __snapshot, __changes): arrays of versions, most preferred last known first.
 
@@ -22,14 +29,14 @@ def as_known_snapshots(versions: DataFrame, keys: list[str], valid_from: str, va
     """
     v = versions.select(*[F.col(k).alias(k) for k in keys], F.struct(F.col(known_from).cast("date").alias("known"), F.col(order).alias("ord"), F.col(valid_from).cast("date").alias("a"), F.col(valid_to).cast("date").alias("b"), *[F.col(x).alias(f"v_{x}") for x in values]).alias("v"))
     v = v.where(" and ".join(["v.known is not null", *[f"`{k}` is not null" for k in keys]]))
-    grid = v.agg(F.date_trunc(period, F.min("v.known")).cast("date").alias("lo"), F.date_trunc(period, F.max("v.known")).cast("date").alias("hi"))
+    last = _last_period(versions, known_from, period)
     step = F.expr(f"interval 1 {period}")
-    # One row of grid ends: the periods of a version are those from the one it became known in to the end of the grid.
-    v = v.join(F.broadcast(grid)).withColumn("__period", F.explode(F.sequence(F.date_trunc(period, "v.known").cast("date"), F.col("hi"), step)))
-    until = F.when(F.col("__period") < F.col("hi"), (F.col("__period") + step).cast("date"))
+    # The periods of a version are those from the one it became known in to the end of the grid.
+    v = v.withColumn("__period", F.explode(F.sequence(F.date_trunc(period, "v.known").cast("date"), F.lit(last), step)))
+    until = F.when(F.col("__period") < F.lit(last), (F.col("__period") + step).cast("date"))
     v = v.where((F.col("v.b").isNull() | (F.col("v.b") >= F.col("__period"))) & (F.col("v.a").isNull() | until.isNull() | (F.col("v.a") < until)))
     known = F.col("v.known") <= F.col("__period")
-    return v.groupBy(*keys, "__period").agg(F.collect_list(F.when(known, F.col("v"))).alias("__snapshot"), F.collect_list(F.when(~known, F.col("v"))).alias("__changes"), F.max("hi").alias("__hi"))
+    return v.groupBy(*keys, "__period").agg(F.collect_list(F.when(known, F.col("v"))).alias("__snapshot"), F.collect_list(F.when(~known, F.col("v"))).alias("__changes"))
 
 
 def as_known_join(events: DataFrame, versions: DataFrame, on: dict[str, str], day: Column, keep: list[str], valid_from: str, valid_to: str, known_from: str, order: str, values: list[str], period: str = "month") -> DataFrame:
@@ -42,9 +49,8 @@ def as_known_join(events: DataFrame, versions: DataFrame, on: dict[str, str], da
     keys = list(on.values())
     snaps = as_known_snapshots(versions, keys, valid_from, valid_to, known_from, order, values, period)
     renamed = snaps.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__period", "__snapshot", "__changes")
-    hi = versions.agg(F.date_trunc(period, F.max(known_from)).cast("date").alias("__hi"))
     e = events.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(keep)], *[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], day.alias("__day")).where("__day is not null")
-    e = e.join(F.broadcast(hi)).withColumn("__period", F.least(F.date_trunc(period, "__day").cast("date"), F.col("__hi")))
+    e = e.withColumn("__period", F.least(F.date_trunc(period, "__day").cast("date"), F.lit(_last_period(versions, known_from, period))))
     joined = lookup_join(e, renamed, [f"__k{i}" for i in range(len(keys))] + ["__period"])
     valid = lambda x: (x["a"].isNull() | (x["a"] <= F.col("__day"))) & (x["b"].isNull() | (x["b"] >= F.col("__day")))
     replayed = F.filter(F.concat("__snapshot", F.filter("__changes", lambda x: x["known"] <= F.col("__day"))), valid)
