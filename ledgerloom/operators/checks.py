@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import iso_day, key_of
 from ledgerloom.operators.bounded import broadcast_if_bounded
-from ledgerloom.operators.ordered import earliest, numbered
+from ledgerloom.operators.ordered import earliest, place
 
 KEY = ("contract_id", "invoice_id", "source_seq")
 
@@ -43,7 +43,7 @@ def invoice_total(invoices: DataFrame, lines: DataFrame) -> DataFrame:
 def reused_id(invoices: DataFrame) -> DataFrame:
     """The second and later rows of one invoice id, in the order of day (none last) and source_seq."""
     named = invoices.where(key_of(F.col("invoice_id")).isNotNull())
-    n = numbered(named, ["contract_id", "invoice_id"], [F.col("day").asc_nulls_last(), F.col("source_seq")], "__n")
+    n = place(named, ["contract_id", "invoice_id"], "day", [F.col("source_seq")], "__n")
     return _found(n.where("__n > 1"), "reused_id", F.col("__n"))
 
 

@@ -34,6 +34,11 @@ def prior_total(df: DataFrame, keys: list[str], lead: str, rest: list[Column], v
     return d.join(totals, on).select(*[F.col(c) for c in df.columns], (F.col("__before") + F.col("__here")).alias(out))
 
 
+def place(df: DataFrame, keys: list[str], lead: str, rest: list[Column], out: str) -> DataFrame:
+    """df with the place (from 1) of each row in its group in the order lead (nulls last), rest; in two levels as prior_total."""
+    return prior_total(df, keys, lead, rest, F.lit(1), out).withColumn(out, F.col(out) + 1)
+
+
 def group_total(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
     """df with the sum of `value` over each row's whole group; null where a key is null."""
     total = F.sum(value).over(Window.partitionBy(*keys))
@@ -54,7 +59,7 @@ def allowance(df: DataFrame, keys: list[str], order: list[Column], quantity: Col
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """df with the place (from 1) of each row in its group."""
+    """df with the place (from 1) of each row in its group, for groups that stay small; else see place."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 

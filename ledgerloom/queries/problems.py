@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import iso_day, key_of
 from ledgerloom.operators.asknown import as_known_join
-from ledgerloom.operators.bounded import broadcast_if_bounded
 from ledgerloom.operators.orphans import orphan_references, orphan_report
 from ledgerloom.operators.packed import infer_delimiters, split_packed
 from ledgerloom.sources.tables import table

@@ -56,7 +56,8 @@ def scan_invoices(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH {base} SELECT line_id, split_part(line_id, '-', 2) AS id_seq, CAST(day AS VARCHAR) AS day, row_number() OVER (PARTITION BY contract_id, source_seq ORDER BY day NULLS LAST, line_id) AS place FROM l")
 def scan_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines once, with the sequence in their id and their place in the order of their invoice row."""
-    placed = ordered.numbered(_lines(spark, sf), ["contract_id", "source_seq"], [F.col("day").asc_nulls_last(), F.col("line_id")], "place")
+    lines = _lines(spark, sf).select("line_id", "contract_id", "source_seq", "day")
+    placed = ordered.place(lines, ["contract_id", "source_seq"], "day", [F.col("line_id")], "place")
     return placed.select("line_id", F.split_part("line_id", F.lit("-"), F.lit(2)).alias("id_seq"), F.col("day").cast("string").alias("day"), "place")
 
 
