@@ -42,6 +42,7 @@ def token_counts(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str
             yield b[[f.name for f in keep]].assign(**{out: n})
 
     ship_package(df.sparkSession)
+    tokens.ship_tokenizer(df.sparkSession, tokenizer)
     return df.mapInPandas(run, T.StructType([*keep, T.StructField(out, T.LongType())]))
 
 

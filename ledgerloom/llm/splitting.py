@@ -182,4 +182,5 @@ def split_oversized(documents: DataFrame, doc_id: str, text: str, source: Column
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("new_start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     names = schema.names
     ship_package(documents.sparkSession)
+    tokens.ship_tokenizer(documents.sparkSession, tokenizer)
     return d.mapInPandas(run, schema)

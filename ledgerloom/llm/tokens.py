@@ -8,6 +8,8 @@ from functools import cache
 
 import numpy as np
 import tiktoken
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 #: Fixed value: how byte-level BPE vocabularies of this family split texts before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -15,10 +17,19 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 DEFAULT = os.environ.get("LEDGERLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def ship_tokenizer(spark: SparkSession, path: str) -> None:
+    """Send the vocabulary file to executors that may lack it, once for an application."""
+    sc = spark.sparkContext
+    shipped = sc.__dict__.setdefault("_ledgerloom_files", set())
+    if path not in shipped:
+        shipped.add(path)
+        sc.addFile(path)
+
+
 @cache
 def encoding(path: str = DEFAULT) -> tiktoken.Encoding:
-    """The tokenizer of a file, loaded once in a process."""
-    with open(path, "rb") as f:
+    """The tokenizer of a file, or of the copy that was sent to the executor, loaded once in a process."""
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 

@@ -104,3 +104,10 @@ def test_split_oversized(spark):
     assert "".join(r.text[r.new_start - r.start :] for r in sorted(got, key=lambda r: r.piece) if r.doc_id == 7) == "y" * 200_000
     assert sum(r.piece == 1 for r in got if r.doc_id == 1) == 2
     assert split_oversized(df.limit(0), "doc_id", "text", source_name(F.col("source")), limits).count() == 0
+
+
+def test_the_tokenizer_is_a_parameter(spark):
+    other = tokens.DEFAULT.replace("byte_bpe_50k", "byte_bpe_multi_50k")
+    df = spark.createDataFrame([(1, "Überprüfung der Rechnung, 日本語の契約。")], "id long, text string")
+    counts = [token_counts(df, "text", tokenizer=t).first().n_tokens for t in (tokens.DEFAULT, other)]
+    assert counts == [tokens.count("Überprüfung der Rechnung, 日本語の契約。", t) for t in (tokens.DEFAULT, other)] and counts[0] != counts[1]
