@@ -197,12 +197,20 @@ def _runs(entry: tuple[str, ...]) -> dict[str, tuple[int, ...]]:
     return {"".join(entry[i:j]): tuple(range(i, j)) for i in range(len(entry)) for j in range(i + 2, len(entry) + 1)}
 
 
+def _sureness(x: tuple[tuple[tuple[str, float], ...], str]) -> tuple[int, float, int]:
+    """Order of reading: words and mistyped words, then beginnings of words, the longest first, so that a stray "re"
+    doesn't take the place of "removal"; what stands for nothing comes last."""
+    best, w = x
+    if not best:
+        return 2, 0.0, 0
+    return int(w != best[0][0] and best[0][0].startswith(w)), best[0][1], -len(w)
+
+
 def fit(words: tuple[str, ...], entry: tuple[str, ...], vocabulary: Vocabulary, slack: float = 0.0) -> tuple[int, float] | None:
     """(words of the entry that are named, cost), or None if some word of the value speaks against the entry."""
     free, cost, named = set(range(len(entry))), 0.0, 0
     runs = None
-    for w in words:
-        best = vocabulary.best(w)
+    for best, w in sorted(((vocabulary.best(w), w) for w in words), key=_sureness):
         own = [(c, i) for x, c in best for i in free if entry[i] == x]
         if own:
             c, i = min(own)

@@ -22,6 +22,9 @@ READ = {
     "Remote Neonatal Removal": 2,
     "Neoriatal Cast Removal / session 68": 2,
     "Urgent Spinal Laser Sitt": 3,
+    "re Remote Sleep Cast Removal.": 1,
+    "re Rem0te Sleep Cast Remo": 1,
+    "re RAPID ALLERGY NUTRITION REVIEW, as agreed": 0,
     "Complex Audi Gait Ass": 5,
     "Cmplx Adlgy Gt Assssmnt": 5,
 }
