@@ -25,6 +25,10 @@ from ledgerloom.session import ship_package
 #: The masks. Completeness as said above holds for at least MIN_WORDS words and one edit in PER_EDIT.
 MASKS = ("1111111", "1111110111111")
 MIN_WORDS, PER_EDIT = 20, 10
+#: Every stretch within the tolerance holds one with at most so many edits. Cut at neighbouring edits, it leaves two
+#: parts of which one is within the tolerance, and long enough if it has two edits. So a stretch that holds no smaller one
+#: has no edits with two or more on either side, and less than MIN_WORDS words on either side of some: fewer than 50 in all.
+NEAR = 4
 #: Words of passages that go to the executors at a time (about 60 bytes each with their seeds).
 MAX_BLOCK_WORDS = 1_000_000
 #: Different words of documents whose numbers a worker remembers at a time; only speed depends on it.
@@ -151,23 +155,28 @@ def _reach(doc: list[int], item: list[int], i: int, j: int, step: int, most: int
     return reach
 
 
+def _most_words(right: list[int], left: list[int], most: int) -> int:
+    """The words of the longest stretch within the tolerance that the reaches make up with `most` edits at most."""
+    best = 0
+    for a, x in enumerate(right):
+        for b, y in enumerate(left[: most - a + 1]):
+            if x + y > best and (a + b) * PER_EDIT <= x + y:
+                best = x + y
+    return best
+
+
 def longest(doc: list[int], item: list[int], i: int, j: int) -> tuple[int, int]:
     """The longest stretch of the item around the hit (i, j) within the tolerance, and where the run at the hit ends in the item."""
     while i > 0 and j > 0 and doc[i - 1] == item[j - 1] and doc[i - 1]:
         i, j = i - 1, j - 1
-    # Some MIN_WORDS words of any stretch within the tolerance have the average number of edits at most; from a hit in
-    # them as many edits either way cover them, but for edits at their ends. Other hits needn't be followed further.
-    near = MIN_WORDS // PER_EDIT
-    first = _reach(doc, item, i, j, 1, near)
-    if first[-1] + _reach(doc, item, i - 1, j - 1, -1, near)[-1] < MIN_WORDS - near:
-        return 0, j + first[0]
+    # Hits whose own NEAR edits hold no stretch needn't be followed further.
+    right, left = _reach(doc, item, i, j, 1, NEAR), _reach(doc, item, i - 1, j - 1, -1, NEAR)
+    if _most_words(right, left, NEAR) < MIN_WORDS:
+        return 0, j + right[0]
     most = max(len(item), MIN_WORDS) // PER_EDIT
-    right, left = _reach(doc, item, i, j, 1, most), _reach(doc, item, i - 1, j - 1, -1, most)
-    best = 0
-    for a, x in enumerate(right):
-        for b, y in enumerate(left):
-            if x + y > best and (a + b) * PER_EDIT <= x + y:
-                best = x + y
+    if most > NEAR:
+        right, left = _reach(doc, item, i, j, 1, most), _reach(doc, item, i - 1, j - 1, -1, most)
+    best = _most_words(right, left, 2 * most)
     return best, j + right[0]
 
 

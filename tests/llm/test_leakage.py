@@ -1,4 +1,5 @@
 import random
+from itertools import combinations, product
 
 import pytest
 
@@ -78,3 +79,43 @@ def test_layout_case_and_punctuation_do_not_matter(spark):
 def test_words():
     assert words_of("A b-c, (D) -- e_f GBP 1,347.20") == ["a", "bc", "d", "e", "f", "gbp", "134720"]
     assert leakage.MASKS == ("1111111", "1111110111111")
+
+
+def test_all_places_of_three_edits_in_30_to_33_words():
+    # Each length has every place of three edits, replaced words and, for the shortest, added ones too.
+    for n in range(30, 34):
+        item = [f"a{i}" for i in range(n)]
+        p = Passages([(1, " ".join(item))])
+        for places in combinations(range(1, n - 1), 3):
+            for kinds in product((True, False), repeat=3) if n == 30 else ((True,) * 3,):
+                t = list(item)
+                for at, replaced in zip(reversed(places), kinds):
+                    t[at : at + replaced] = ["zz"]
+                assert p.found("x " + " ".join(t) + " y") == {1: n}, (n, places, kinds)
+
+
+@pytest.mark.parametrize("edits", (4, 5, 6, 7))
+def test_edits_close_together_in_longer_stretches(edits):
+    rng = random.Random(edits)
+    for _ in range(500):
+        n = edits * 10 + rng.randrange(10)
+        item = [f"a{i}" for i in range(n)]
+        p = Passages([(1, " ".join(item))])
+        # Edits in one or two groups of neighbouring words, or in any places.
+        groups = rng.randrange(3)
+        starts = [rng.randrange(1, n - 2 * edits) for _ in range(groups)] or [1]
+        pool = [x for x in {s + k for s in starts for k in range(2 * edits)} if 0 < x < n - 1] if groups else range(1, n - 1)
+        t = list(item)
+        for at in sorted(rng.sample(sorted(pool), edits), reverse=True):
+            t[at : at + rng.randrange(2)] = ["zz"]
+        assert p.found("x " + " ".join(t) + " y") == {1: n}, t
+
+
+def test_a_hit_is_followed_as_if_none_were_left_out(monkeypatch):
+    rng = random.Random(5)
+    item = [f"a{i}" for i in range(90)]
+    p = Passages([(1, " ".join(item))])
+    texts = [" ".join(w if rng.random() > share else "zz" for w in item) for share in (0.05, 0.1, 0.15, 0.2, 0.25, 0.3) for _ in range(100)]
+    got = [p.found(t) for t in texts]
+    monkeypatch.setattr(leakage, "NEAR", 90)
+    assert got == [p.found(t) for t in texts] and 100 < sum(map(bool, got)) < 590
