@@ -311,6 +311,12 @@ def beginnings(words: list[str]) -> list[int]:
     return out
 
 
+def pair_number(prompt: str | None, answer: str | None) -> int:
+    """A 64-bit number of a pair, whatever its blanks and line ends."""
+    q, a = (" ".join((s or "").split()) for s in (prompt, answer))
+    return xxhash.xxh3_64_intdigest(f"{q}\n{a}".encode("utf-8", "replace")) - (1 << 63)
+
+
 #: An answer is cut off if at most this share of the answers that begin with all its words end there, and this many go on.
 END_SHARE, MIN_GO_ON = 0.12, 3
 
@@ -321,7 +327,8 @@ def defective_pairs(pairs: DataFrame, pair_id: str, prompt: str, answer: str, ma
 
     may_decline: whether declining is right for the pair (null: it isn't). A null or blank answer is empty. Null prompts
     are taken as empty texts: their answers can't be copies or in another language. Repeated rows are judged each.
-    Beginnings are counted per different wording first, so very common answers are one row of the counts.
+    Answers are judged by counts of different (prompt, answer) pairs, so copies of a row change no verdict. Beginnings are
+    counted per different wording first, so very common answers are one row of the counts.
     """
     rows = pairs.select(F.col(pair_id).alias("pair_id"), F.col(prompt).alias("q"), F.col(answer).alias("a"), F.coalesce(may_decline, F.lit(False)).alias("may"))
 
@@ -329,7 +336,8 @@ def defective_pairs(pairs: DataFrame, pair_id: str, prompt: str, answer: str, ma
         for b in batches:
             out = [_judge(q, a, m) for q, a, m in zip(b["q"], b["a"], b["may"])]
             full = pd.array([None if w is None else beginnings(w)[-1] for _, w in out], dtype="Int64")
-            yield pd.DataFrame({"pair_id": b["pair_id"], "defect": [d for d, _ in out], "words": [None if w is None else " ".join(w) for _, w in out], "full": full})
+            pair = pd.array([None if w is None else pair_number(q, a) for (_, w), q, a in zip(out, b["q"], b["a"])], dtype="Int64")
+            yield pd.DataFrame({"pair_id": b["pair_id"], "defect": [d for d, _ in out], "words": [None if w is None else " ".join(w) for _, w in out], "full": full, "pair": pair})
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -343,11 +351,12 @@ def defective_pairs(pairs: DataFrame, pair_id: str, prompt: str, answer: str, ma
                     rows = []
             yield pd.DataFrame(rows, columns=["begin", "word", "ends", "full", "n"])
 
-    schema = T.StructType([T.StructField("pair_id", pairs.schema[pair_id].dataType), T.StructField("defect", T.StringType()), T.StructField("words", T.StringType()), T.StructField("full", T.LongType())])
+    schema = T.StructType([T.StructField("pair_id", pairs.schema[pair_id].dataType), T.StructField("defect", T.StringType()), T.StructField("words", T.StringType()), T.StructField("full", T.LongType()), T.StructField("pair", T.LongType())])
     ship_package(pairs.sparkSession)
     judged = written(rows.mapInPandas(judge, schema), "pairs")
     known = judged.where("defect is not null").select("pair_id", "defect")
-    kinds = judged.where("defect is null").groupBy("full").agg(F.count("*").alias("n"), F.first("words").alias("words"))
+    different = judged.where("defect is null").groupBy("full", "pair").agg(F.first("words").alias("words"))
+    kinds = different.groupBy("full").agg(F.count("*").alias("n"), F.first("words").alias("words"))
     # Every beginning of every wording, with the word that follows.
     steps = written(kinds.select("words", "n").mapInPandas(step, "begin long, word string, ends boolean, full long, n long"), "steps")
     nexts = steps.groupBy("begin", "word").agg(F.sum("n").alias("n"))

@@ -46,3 +46,19 @@ def test_declining_may_be_right_and_repeats_are_judged_each(spark):
 def test_alignment():
     assert common_length("a b c d".split(), "b x d".split()) == 2 and common_length([], ["a"]) == 0
     assert shingles("a b c d".split()) == {("a", "b", "c"), ("b", "c", "d")} and shingles(["a"]) == {("a",)} and shingles([]) == set()
+
+
+def found(spark, rows):
+    df = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(rows)], "id long, q string, a string")
+    return {(rows[r.pair_id], r.defect) for r in defective_pairs(df, "id", "q", "a", F.lit(False)).collect()}
+
+
+def test_copies_do_not_outweigh_other_answers(spark):
+    full = [(f"{Q} ({i})", f"It depends on the date: until {i} the charge was GBP {i}, afterwards it became GBP {i}") for i in range(20)]
+    cut = (Q, "It depends on the date: until 7 the charge")
+    assert found(spark, [*full, cut]) == found(spark, [*full, *[cut] * 10]) == found(spark, [*full, *[(q, f" {a.replace(' ', '  ')}\n") for q, a in full[:1]] * 30, cut]) == {(cut, "truncated")}
+
+
+def test_a_hot_answer_does_not_cut_short_ones_that_are_right(spark):
+    rows = [(f"{Q} ({i})", str(i)) for i in range(3)] + [(Q, "46 units in all of a day")]
+    assert found(spark, rows) == found(spark, [*rows, *rows[-1:] * 60]) == set()
