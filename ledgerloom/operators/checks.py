@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import iso_day, key_of
 from ledgerloom.operators.bounded import broadcast_if_bounded
 from ledgerloom.operators.ordered import earliest, place
+from ledgerloom.session import written
 
 KEY = ("contract_id", "invoice_id", "source_seq")
 
@@ -83,3 +84,37 @@ def all_checks(lines: DataFrame, invoices: DataFrame, contracts: DataFrame) -> D
 def findings(raised: DataFrame) -> DataFrame:
     """(contract_id, invoice_id, category, detail, n): per invoice id and category the first detail and the number."""
     return raised.groupBy("contract_id", "invoice_id", "category").agg(F.min("detail").alias("detail"), F.count("*").alias("n"))
+
+
+#: Faults that the checks above can find, by the category that each must raise.
+FAULTS = ("line_arithmetic", "invoice_total", "malformed_date", "out_of_term", "contract_number")
+
+
+def injected_faults(lines: DataFrame, invoices: DataFrame, contracts: DataFrame, seed: int = 0, one_in: int = 20) -> DataFrame:
+    """(fault, injected, detected, false_alarms): faults of each kind put into clean invoices, and how many the checks find.
+
+    Clean invoices raise nothing, have a total, a term and a line with all its amounts and a day. By a seeded hash one in
+    `one_in` of them gets each kind, and none gets two. A false alarm is a clean invoice left as it is that raises the kind.
+    """
+    key = ["contract_id", "source_seq"]
+    whole = lines.where("quantity * unit_price_cents is not null and line_total_cents is not null and day is not null")
+    victims = whole.groupBy(*key).agg(F.min("line_id").alias("__victim"))
+    terms = contracts.where("eff_from is not null and contract_number is not null").select("contract_id", "eff_from")
+    clean = invoices.where("invoice_total_cents is not null").join(all_checks(lines, invoices, contracts), key, "left_anti").join(victims, key).join(broadcast_if_bounded(terms), "contract_id")
+    nth = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(one_in)) + 1
+    clean = written(clean.select(*key, "__victim", F.date_sub("eff_from", 1).alias("__before"), F.try_element_at(F.array(*map(F.lit, FAULTS)), nth.cast("int")).alias("__fault")), "clean")
+    hit = clean.where("__fault is not null")
+    fault = lambda k: F.coalesce(F.col("__fault") == k, F.lit(False))
+    spoiled = lines.join(hit.select(F.col("__victim").alias("line_id"), "__before", "__fault"), "line_id", "left")
+    spoiled = spoiled.withColumn("line_total_cents", F.col("line_total_cents") + F.when(fault("line_arithmetic"), 137).otherwise(0))
+    spoiled = spoiled.withColumn("service_date", F.when(fault("malformed_date"), "2025-02-30").when(fault("out_of_term"), F.col("__before").cast("string")).otherwise(F.col("service_date")))
+    spoiled = spoiled.withColumn("day", iso_day(F.col("service_date"))).drop("__before", "__fault")
+    heads = invoices.join(hit.select(*key, "__fault"), key, "left")
+    heads = heads.withColumn("invoice_total_cents", F.col("invoice_total_cents") + F.when(fault("invoice_total"), 500).otherwise(0))
+    heads = heads.withColumn("contract_number", F.when(fault("contract_number"), "INS-XX-0000-0000").otherwise(F.col("contract_number"))).drop("__fault")
+    raised = all_checks(spoiled, heads, contracts).groupBy(*key).agg(F.collect_set("category").alias("__raised"))
+    j = clean.select(*key, "__fault").join(raised, key, "left")
+    found = lambda k: F.coalesce(F.array_contains("__raised", k), F.lit(False))
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    kinds = [F.struct(F.lit(k).alias("fault"), count(fault(k), "injected"), count(fault(k) & found(k), "detected"), count(F.col("__fault").isNull() & found(k), "false_alarms")) for k in FAULTS]
+    return j.agg(F.array(*kinds).alias("k")).select(F.inline("k"))

@@ -647,6 +647,12 @@ def fault_injection(spark: SparkSession, sf: str) -> DataFrame:
     return j.agg(F.count(F.when(F.col("hit"), 1)).alias("injected"), F.count(F.when(F.col("hit") & (F.col("raised") == 1), 1)).alias("detected"), F.count(F.when(F.col("clean") & ~F.col("hit") & (F.col("raised") == 1), 1)).alias("false_alarms")).select(F.lit("line_arithmetic").alias("fault"), "injected", "detected", "false_alarms")
 
 
+@query()
+def fault_injection_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of five kinds put into clean invoices, one each by a seeded hash, and how many the checks find."""
+    return checks.injected_faults(_lines(spark, sf), _invoices(spark, sf), table(spark, sf, "dim_contract"))
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (CAST(round(round(CAST(rate_cents AS DECIMAL(18,0)) * 1.075, 0) * 0.95, 0) AS BIGINT) <> CAST(round(CAST(rate_cents AS DECIMAL(18,0)) * 1.075 * 0.95, 0) AS BIGINT)) AS n_differ FROM dim_rate")
 def rounding_policies(spark: SparkSession, sf: str) -> DataFrame:
     """How often rounding at each of two steps differs from rounding once, halves away from zero."""

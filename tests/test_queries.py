@@ -67,3 +67,9 @@ def test_nothing_changes_beyond_the_broadcast_bound(spark, monkeypatch, name):
     want = values(catalog.QUERIES[name](spark, DATA).toPandas())
     monkeypatch.setattr(bounded, "is_bounded", lambda *a: False)
     assert values(catalog.QUERIES[name](spark, DATA).toPandas()) == want
+
+
+def test_every_kind_of_fault_is_injected_and_found(spark):
+    got = {r.fault: r for r in catalog.QUERIES["fault_injection_kinds"](spark, DATA).collect()}
+    assert set(got) == {"line_arithmetic", "invoice_total", "malformed_date", "out_of_term", "contract_number"}
+    assert all(r.injected > 0 and r.detected == r.injected and r.false_alarms == 0 for r in got.values()), got
