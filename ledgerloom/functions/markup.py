@@ -79,10 +79,10 @@ def first_integer(c: Column) -> Column:
 
 
 def clauses(df: DataFrame, keys: list[str], text: str, least: int = 40, most: int = 1800) -> DataFrame:
-    """(keys, seq, heading, clause): paragraphs and numbered clauses under the last heading before them.
+    """(keys, seq, heading, clause, entry): paragraphs and numbered clauses under the last heading before them.
 
     A text is cut at blank lines, headings and lines that begin with a clause number; pieces under `least` characters
-    are left out, the others shortened to `most` (the feature of an index entry; texts are cut nowhere else).
+    are left out. The clause is whole; `entry` is its first `most` characters (the feature of an index entry).
     """
     t = F.regexp_replace(F.col(text), r"\r\n?", "\n")
     parts = F.filter(F.split(t, r"\n\s*\n|(?m)(?=^#{1,6} )|(?m)(?=^\d+(?:\.\d+)+ )"), lambda p: F.trim(p) != "")
@@ -92,7 +92,7 @@ def clauses(df: DataFrame, keys: list[str], text: str, least: int = 40, most: in
     above = F.filter("__h", lambda h: h["i"] <= F.col("x.i"))
     heading = F.when(F.size(above) > 0, F.trim(F.regexp_extract(F.element_at(above, -1)["p"], r"^#{1,6} ([^\n]*)", 1)))
     body = F.trim(F.col("x.p"))
-    return d.select(*keys, F.col("x.i").alias("seq"), heading.alias("heading"), F.substring(body, 1, most).alias("clause")).where(F.length("clause") >= least)
+    return d.select(*keys, F.col("x.i").alias("seq"), heading.alias("heading"), body.alias("clause"), F.substring(body, 1, most).alias("entry")).where(F.length("clause") >= least)
 
 
 def repaired_amounts(c: Column) -> Column:

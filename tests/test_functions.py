@@ -72,3 +72,10 @@ def test_zero_vectors_and_ties(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [2.0, 0.0]), (4, [1.0, 0.0])], "id int, v array<float>")
     got = similarity.cosine_top_k(df, df.where("id = 1"), "id", "v", 2).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(3, 1.0), (4, 1.0)]
+
+
+def test_clauses_are_whole(spark):
+    long = "1.2 " + "word " * 1000 + "end"
+    df = spark.createDataFrame([(1, f"# Terms\n\n{long}\n\nshort")], "id long, t string")
+    got = markup.clauses(df, ["id"], "t").collect()
+    assert [(r.heading, r.clause, r.entry) for r in got] == [("Terms", long, long[:1800])]
