@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import loose, markup
 from ledgerloom.functions.text import iso_day, key_of
 from ledgerloom.operators import checks, matching, ordered, scores, similarity
-from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.operators.bounded import broadcast_if_bounded, salted_join
 from ledgerloom.plans.audit import audit
 from ledgerloom.sources.tables import table
 
@@ -694,6 +694,29 @@ def explained_invoices(spark: SparkSession, sf: str) -> DataFrame:
     return _invoices(spark, sf).join(lines, ["contract_id", "source_seq"], "left").select("contract_id", "source_seq", "patient_id", "invoice_total_cents", "n_lines", "lines_total", "n_descriptions", "first_day", "last_day", "first_line")
 
 
+_OF_INVOICE = "('invoice_total', 'reused_id', 'contract_number')"
+
+
+@query(f"""WITH {{base}}, f AS ({_RAISED}),
+a AS (SELECT contract_id, source_seq, string_agg(category || ': ' || coalesce(detail, ''), '|' ORDER BY category) AS findings FROM f WHERE category IN {_OF_INVOICE} GROUP BY ALL),
+b AS (SELECT detail AS line_id, string_agg(category, '|' ORDER BY category) AS line_findings FROM f WHERE category NOT IN {_OF_INVOICE} GROUP BY ALL)
+SELECT i.contract_id, i.source_seq, i.invoice_id, i.patient_id, i.invoice_total_cents, coalesce(a.findings, '') AS findings, l.line_id, l.description, l.service_date, l.quantity, l.unit_price_cents, l.line_total_cents, coalesce(b.line_findings, '') AS line_findings
+FROM i LEFT JOIN a USING (contract_id, source_seq) LEFT JOIN l USING (contract_id, source_seq) LEFT JOIN b ON l.line_id = b.line_id""")
+def explained_invoice_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every invoice with its findings, and each of its lines with the findings on the line."""
+    key, raised = ["contract_id", "source_seq"], _raised(spark, sf)
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "|")
+    of_invoice = raised.where(f"category in {_OF_INVOICE}").groupBy(*key).agg(listed(F.concat_ws(": ", "category", F.coalesce("detail", F.lit("")))).alias("findings"))
+    of_line = raised.where(f"category not in {_OF_INVOICE}").groupBy(F.col("detail").alias("line_id")).agg(listed(F.col("category")).alias("line_findings"))
+    heads = _invoices(spark, sf).select(*key, "invoice_id", "patient_id", "invoice_total_cents").join(of_invoice, key, "left").fillna("", ["findings"])
+    lines = _lines(spark, sf).select(*key, "line_id", "description", "service_date", "quantity", "unit_price_cents", "line_total_cents").join(of_line, "line_id", "left").fillna("", ["line_findings"])
+    # Lines are spread within an invoice; invoices without lines come from the other side.
+    held = salted_join(lines, heads, key, salt_of=["line_id"])
+    without = heads.join(lines.select(*key).distinct(), key, "left_anti").withColumn("line_findings", F.lit(""))
+    out = held.unionByName(without, allowMissingColumns=True)
+    return out.select(*key, "invoice_id", "patient_id", "invoice_total_cents", "findings", "line_id", "description", "service_date", "quantity", "unit_price_cents", "line_total_cents", "line_findings")
+
+
 @query("""SELECT contract_id, 'service,unit_basis,daily_cap' || chr(10) || string_agg(service || ',' || unit_basis || ',' || coalesce(CAST(daily_cap AS VARCHAR), ''), chr(10) ORDER BY service_ord) AS text FROM dim_service GROUP BY ALL""")
 def rules_as_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The services of each contract as CSV text."""

@@ -73,3 +73,11 @@ def test_every_kind_of_fault_is_injected_and_found(spark):
     got = {r.fault: r for r in catalog.QUERIES["fault_injection_kinds"](spark, DATA).collect()}
     assert set(got) == {"line_arithmetic", "invoice_total", "malformed_date", "out_of_term", "contract_number"}
     assert all(r.injected > 0 and r.detected == r.injected and r.false_alarms == 0 for r in got.values()), got
+
+
+def test_every_line_and_finding_of_an_invoice_comes_out(spark):
+    out = catalog.QUERIES["explained_invoice_lines"](spark, DATA).cache()
+    sums = catalog.QUERIES["explained_invoices"](spark, DATA)
+    assert out.select("contract_id", "source_seq").distinct().count() == sums.count()
+    assert out.where("line_id is not null").count() == sums.agg({"n_lines": "sum"}).first()[0]
+    assert out.where("findings <> ''").count() > 0 and out.where("line_findings <> ''").count() > 0
