@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.canonical import map_to_list
 from ledgerloom.llm.leakage import leaked_passages
-from ledgerloom.llm.mixing import draw_mixture, mixture_report, source_name, token_counts
+from ledgerloom.llm.mixing import draw_mixture, mixture_report, source_name, token_counts, with_shares
 from ledgerloom.llm.pairs import defective_pairs
 from ledgerloom.llm.splitting import split_oversized
 from ledgerloom.operators.bounded import lookup_join
@@ -71,19 +71,22 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The drawn documents, written once, and the report on them by source."""
     d = table(spark, sf, "documents").select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    counted = written(token_counts(d, "text"), "tokens")
-    return draw_mixture(counted, "doc_id", F.col("source"), "n_tokens", table(spark, sf, "source_targets"))
+    draws, plan = draw_mixture(token_counts(d, "text"), "doc_id", F.col("source"), "n_tokens", table(spark, sf, "source_targets"))
+    draws = written(draws, "draws")
+    return draws, mixture_report(draws, plan)
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares wanted, feasible and reached by source."""
-    return mixture_report(*_mixture(spark, sf))
+    """The documents of the mixture and how often each comes, with the shares wanted, feasible and reached of its source."""
+    draws, report = _mixture(spark, sf)
+    return with_shares(draws, written(report, "shares"))
 
 
-def p7_draws(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents drawn and how often each comes."""
-    return _mixture(spark, sf)[0]
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares wanted, feasible and reached by source."""
+    return _mixture(spark, sf)[1]
 
 
 def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,5 +94,5 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(table(spark, sf, "documents"), "doc_id", "text", source_name(F.col("source")), table(spark, sf, "source_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_resolution": p1_resolution, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_report": p6_report, "p7_shares": p7_shares, "p7_draws": p7_draws, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_resolution": p1_resolution, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_report": p6_report, "p7_shares": p7_shares, "p7_report": p7_report, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
