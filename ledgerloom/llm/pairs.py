@@ -1,8 +1,8 @@
 """Broken prompt and response pairs: empty, copied, refused, in another language or cut off.
 
 Prompt and response are aligned by shingle containment and by their longest common subsequence to find copies, and the
-response is aligned with refusal templates in the same way. Responses that break off are found by their own surface and
-by the corpus: a response's wording, with numbers and names taken from the prompt masked, is cut off if most responses
+response's sentences are aligned with refusal templates. Its language is told by letter models and compared with the
+prompt's. Responses that break off are found by their own surface and by the corpus: a response's wording, with numbers and names taken from the prompt masked, is cut off if most responses
 that begin with the same words go on.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.languages import MOST_PER_WORD, LanguageModel, model_of, script_of, stop_words
 from ledgerloom.operators.bounded import lookup_join
 from ledgerloom.session import ship_package, written
 
@@ -29,48 +30,44 @@ OTHER_LABELS = ("source", "sources", "quote", "quotes", "reference", "citation")
 PLACEHOLDERS = {"", "na", "none", "null", "nil", "nan", "tbd", "tbc", "todo", "undefined", "empty", "blank", "noanswer", "answer", "youranswerhere", "yourresponse", "insertanswer", "placeholder", "loremipsum"}
 #: Openings under which a prompt is repeated.
 REPEATS = ("you asked", "your question", "question", "q", "the question is", "the question was")
-#: Refusals; * stands for any words.
-REFUSALS = (
-    "I'm sorry, but I can't help with that",
-    "Sorry, I can't help with that",
-    "I am sorry, I cannot assist with this request",
-    "Unfortunately I must decline to state *",
-    "I must decline to answer",
-    "Not permitted to disclose",
-    "I am not permitted to disclose *",
-    "No comment on *; kindly consult a qualified auditor",
-    "No comment",
-    "I would rather not give a figure here, since doing so is against my instructions",
-    "I would rather not say",
-    "Providing prices for * isn't something I'm comfortable doing",
-    "I am not comfortable answering that",
-    "I cannot provide that information",
-    "I can't provide that",
-    "I am unable to provide that information",
-    "I am not able to answer this question",
-    "I cannot answer that question",
-    "I am unable to answer",
-    "This request goes beyond what I may discuss; please ask the billing desk",
-    "That is not something I can answer here",
-    "My answers are limited to the terms of this agreement",
-    "Sorry, that lies outside the agreement and I cannot help with it",
-    "No answer from me: the agreement says nothing about it, and nothing else is open to me",
-    "I won't answer that",
-    "As an AI language model, I cannot *",
-    "As an assistant I do not give advice on *",
-    "I do not have access to that information",
-    "It would be inappropriate for me to answer",
-)
-#: Short common words by language.
-STOPWORDS = {
-    "en": "a about we you your they who when where why should could would has have had do did can give write show please see tell the of and is are was for in on at to by not no any with from after once which what does how many much per it its this that be may will as than when each your before until yes unit units day charge cents agreed contract an there lies i".split(),
-    "de": "der die das und ist sind war für im in am an zu von mit nicht kein keine keinen je nach wird werden wurde es gibt eine ein einer einen dem den des auf aus bei bis ab um was wie höchstens nein ja einheit einheiten cent beträgt gilt dafür worden sinkt preis bleibt unverändert satz".split(),
-    "fr": "le la les de des du et est sont pour dans en à au aux par pas un une ce cette qui que il y ne aucune aucun sur avec après après-midi combien coûte unité unités jour prix oui non plus pendant toute durée facturée prévue limite baisse tarif convenu suivantes chaque".split(),
-    "es": "el la los las de del y es son para en a al por no un una este esta que se ha hay su con después cuánto cuesta unidad unidades día precio sí cada cobra pagan máximo como todo durante límite ningún fijado baja siguientes tarifa acordada".split(),
-    "it": "il lo la i gli le di del della e è sono per in a al da non un una questo questa che si con dopo quanto costa unità giorno prezzo sì ogni alcun previsto limite scende successive quelle tutta durata tariffa concordata vale prestazione".split(),
-    "pt": "o a os as de do da e é são para em ao por não um uma este esta que se com depois quanto custa unidade unidades dia preço sim cada cobrada máximo como todo durante limite nenhum seguintes tarifa acordada".split(),
-    "nl": "de het een en is zijn van voor in op aan met niet geen per na wordt werden er wat hoeveel kost eenheid eenheden dag prijs ja nee elke hoogstens tarief overeengekomen".split(),
+#: Classes of words in refusals.
+REFUSAL_WORDS = {
+    "self": "i we assistant ai chatbot",
+    "own": "my our",
+    "me": "me us",
+    "not": "not cannot unable never unwilling",
+    "no": "no",
+    "speak": "help assist answer provide give share disclose reveal discuss comment state say tell advise respond reply comply quote fulfil fulfill offer speak confirm talk release handle engage address helping assisting answering providing giving sharing disclosing revealing discussing commenting stating saying telling advising responding replying quoting offering speaking confirming talking releasing handling addressing",
+    "spoken": "disclosed revealed shared discussed answered provided given released stated",
+    "word": "comment answer response reply help assistance advice statement",
+    "decline": "decline refuse refrain abstain pass withhold declining refusing",
+    "past": "beyond outside",
+    "against": "against violate violates contrary breach breaches",
+    "rules": "instructions guidelines guideline policy policies rules programming remit mandate",
+    "stop": "prevent prevents forbid forbids prohibit prohibits restrict restricts bar bars stop stops",
+    "replies": "answers replies responses help assistance advice role",
+    "limited": "limited restricted confined",
+    "wrong": "inappropriate improper unethical",
+    "something": "something anything",
+    "have": "have",
+    "access": "access permission authority authorisation authorization clearance",
+    "be": "be",
+    "secret": "confidential classified secret",
 }
+#: Refusals as classes of words in order, each with the words that may stand before the next; ^ is the sentence's beginning.
+REFUSALS = (
+    "self 4 not 4 speak", "^ 2 not 4 speak", "self 4 decline", "^ 1 decline", "^ 0 no 0 word",
+    "not 1 something 2 self 4 speak", "speak 12 not 1 something 2 self", "not 1 something 2 self",
+    "past 3 self 3 speak", "past 1 own 2 rules", "against 2 own 2 rules", "own 2 rules 3 stop", "own 2 rules 2 not 3 me", "own 1 replies 3 limited",
+    "wrong 4 me 3 speak", "self 3 not 1 have 4 access", "not 0 be 2 spoken", "^ 6 secret",
+)
+#: Refusals in other languages; * stands for any words.
+FOREIGN_REFUSALS = (
+    "das kann ich leider nicht beantworten", "dazu darf ich * keine auskunft geben", "ich kann * nicht beantworten", "ich kann dabei nicht helfen",
+    "je ne peux pas répondre à *", "je ne suis pas autorisé à *", "je ne peux pas vous aider",
+    "no puedo responder a *", "lo siento, no puedo ayudar con eso", "no estoy autorizado a *",
+    "non posso rispondere a *", "mi dispiace, non posso aiutare", "não posso responder a *", "não posso ajudar com isso", "daar kan ik geen antwoord op geven", "ik kan * niet beantwoorden",
+)
 #: Words after which no answer ends.
 OPEN_ENDS = frozenset("the a an of and or but by for to in on at with from per until than as is are was were be been if that which its their not no more most into under over after before because since while each any every these those this first second both will may can must shall would should GBP".lower().split()) - {"no", "not", "first", "second", "more", "most", "both", "can", "may", "this", "that", "is", "any"}
 
@@ -96,6 +93,8 @@ def plain(s: str) -> str:
 
 def answer_part(answer: str) -> str:
     """What is said under the answer label, or all before other labels if there is none."""
+    if ":" not in answer:
+        return answer.strip()
     marks = [(m.start(), m.end(), m.group(1).lower()) for m in _LABEL.finditer(answer)]
     marks = [m for m in marks if m[2] not in ("a",) or answer[: m[0]].strip() == ""]
     parts = []
@@ -132,16 +131,16 @@ def shingles(t: list[str], k: int = 3) -> set[tuple[str, ...]]:
     return {tuple(t[i : i + k]) for i in range(len(t) - k + 1)} or ({tuple(t)} if t else set())
 
 
-def without_prompt(prompt: list[str], answer: str) -> str:
-    """The answer without a repetition of the prompt at its head."""
+def without_prompt(prompt: list[str], answer: str, words: list[str] | None = None) -> str:
+    """The answer (its words, if they are known already) without a repetition of the prompt at its head."""
     rest = answer
-    while True:
-        if len(prompt) < 3:
-            return rest
-        # Of the first tenth and one more of the prompt's words one must stand near the head, else no repetition is near enough.
-        k = len(prompt) // 10 + 1
-        if not {m.group().lower() for m in islice(_TOKEN.finditer(rest), 2 * k + 5)}.intersection(prompt[:k]):
+    # Of the first tenth and one more of the prompt's words one must stand near the head, else no repetition is near enough.
+    k = len(prompt) // 10 + 1
+    while len(prompt) >= 3:
+        head = words[: 2 * k + 5] if words is not None else [m.group().lower() for m in islice(_TOKEN.finditer(rest), 2 * k + 5)]
+        if not set(head).intersection(prompt[:k]):
             return rest
+        words = None
         found = list(islice(_TOKEN.finditer(rest), len(prompt) + 4))
         t = [m.group().lower() for m in found]
         if len(t) < len(prompt):
@@ -153,6 +152,7 @@ def without_prompt(prompt: list[str], answer: str) -> str:
         rest = rest[found[skip + len(prompt) - 1].end() :].lstrip("?.!\"'”’»: \n\r\t")
         if not rest:
             return ""
+    return rest
 
 
 def is_copy(prompt: list[str], a: list[str], rest: list[str]) -> bool:
@@ -170,85 +170,99 @@ def is_copy(prompt: list[str], a: list[str], rest: list[str]) -> bool:
     return len(inside & shingles(prompt)) >= 0.6 * len(inside)
 
 
-#: Of each refusal the words, how many must be met, how many may be there, and whether it has a gap.
-_TEMPLATES = [(w, frozenset(w), 0.85 * len(w), 1.3 * len(w) + 1 + (8 if "*" in t else 0)) for t in REFUSALS if (w := tokens_of(t.replace("*", " ")))]
-_BEGINNING: dict[str, list[tuple]] = {}
-for _t in _TEMPLATES:
-    for _w in set(_t[0][:3]):
-        _BEGINNING.setdefault(_w, []).append(_t)
-_CUES = re.compile(
-    r"\b(?:i|we)(?:'m| am| are|'re)? (?:cannot|can't|can not|won't|will not|unable to|not able to|not permitted to|not allowed to|must decline to|must refuse to|decline to|refuse to|would rather not|prefer not to)\b.{0,30}?\b(?:help|assist|answer|provide|disclose|discuss|share|comment|comply|state|say|give|fulfil|do)\b"
-    r"|\bagainst my (?:instructions|rules|guidelines|policy)\b|\bnot comfortable (?:with|doing|answering|providing)\b|\bisn't something i'm comfortable\b",
-    re.I,
-)
+_CLASSES: dict[str, frozenset[str]] = {k: frozenset(w.split()) for k, w in REFUSAL_WORDS.items()}
+#: Of each template its classes (None: the beginning) and how many words may stand before the next.
+_TEMPLATES = tuple((tuple(None if c == "^" else _CLASSES[c] for c in t.split()[::2]), tuple(map(int, t.split()[1::2]))) for t in REFUSALS)
+#: Every template has a word of one of these.
+_CUES = frozenset().union(*(_CLASSES[c] for c in ("not", "decline", "word", "past", "against", "stop", "limited", "wrong", "secret")))
+#: Of each foreign refusal the words and how many must be met.
+_FOREIGN = tuple((tokens_of(t.replace("*", " ")), 8 if "*" in t else 0) for t in FOREIGN_REFUSALS)
+_FOREIGN_WORDS = frozenset(w for t, _ in _FOREIGN for w in t[:3])
+_SENTENCE = re.compile(r"(?<=[.!?;:])\s+|[\r\n]+")
+_FULL = ((re.compile(r"\bcan(?:'t| not)\b"), "cannot"), (re.compile(r"\bwon't\b"), "will not"), (re.compile(r"n't\b"), " not"), (re.compile(r"\b(i|we)'(?:m|re|d|ll|ve)\b"), r"\1"))
+
+
+def aligned(words: list[str], classes: tuple, gaps: tuple[int, ...]) -> bool:
+    """Whether the words follow a template: one of each class in order, with no more words between two than its gap."""
+    at = [-1] if classes[0] is None else [i for i, w in enumerate(words) if w in classes[0]]
+    for c, gap in zip(classes[1:], gaps):
+        at = sorted({j for i in at for j in range(i + 1, min(len(words), i + gap + 2)) if words[j] in c})
+        if not at:
+            return False
+    return bool(at)
+
+
+def declines(sentence: str) -> bool:
+    """Whether a sentence (lower case) follows a refusal template."""
+    own = set(_TOKEN.findall(sentence))
+    if not own.isdisjoint(_CUES) or "n't" in sentence or "can not" in sentence:
+        for pattern, full in _FULL:
+            sentence = pattern.sub(full, sentence)
+        words = _TOKEN.findall(sentence)
+        if any(aligned(words, *t) for t in _TEMPLATES):
+            return True
+    if len(own & _FOREIGN_WORDS) >= 2:
+        words = tokens_of(sentence)
+        return any(len(words) <= len(t) + 2 + gap and common_length(words, t) >= 0.9 * len(t) for t, gap in _FOREIGN)
+    return False
+
 
+def is_refusal(part: str, prompt: list[str]) -> bool:
+    """Whether the answer declines: one of its sentences does, and none before or after tells anything.
 
-def is_refusal(part: str, own: list[str]) -> bool:
-    """Whether the answer (as text and words) is a refusal: it follows a template, or a short one declines in the first person."""
-    if not own or len(own) > 40:
+    A sentence tells something if it has a number that the prompt hasn't or answers yes or no. Answers of any length are
+    read whole, sentence by sentence.
+    """
+    text = part.lower()
+    text = text.replace("’", "'") if "’" in text else text
+    if _ANY_CUE.search(text) is None:
         return False
-    text = part.replace("’", "'") if "’" in part else part
-    t = own if text is part else tokens_of(text)
-    have = set(t)
-    for words, different, met, most in {id(x): x for w in have for x in _BEGINNING.get(w, ())}.values():
-        if t == words:
-            return True
-        if len(words) < 3 or len(t) > most or len(words) > len(t) + 1 or len(different & have) < 0.7 * len(different):
-            continue
-        if common_length(t, words) >= met:
-            return True
-    return len(t) <= 30 and bool(_CUES.search(text))
-
-
-_LANGUAGES = tuple(sorted(STOPWORDS))
-_SPEAKS: dict[str, tuple[str, ...]] = {w: tuple(k for k in _LANGUAGES if w in STOPWORDS[k]) for words in STOPWORDS.values() for w in words}
-#: Ends of code ranges and the language that a script in them stands for ("" for none).
-SCRIPTS = ((0x370, ""), (0x400, "el"), (0x530, "ru"), (0x590, ""), (0x600, "he"), (0x700, "ar"), (0x900, ""), (0x980, "hi"), (0xE00, ""), (0xE80, "th"), (0x3040, ""), (0x3100, "ja"), (0x4E00, ""), (0xA000, "zh"), (0xAC00, ""), (0xD7B0, "ko"))
-
-
-def language(words: list[str], text: str, least: int = 2) -> tuple[str | None, int]:
-    """The language of a text and the words by which it leads; (None, 0) if fewer than `least` words speak for one."""
-    if not text.isascii():
-        scripts: dict[str, int] = {}
-        letters = 0
-        for c in text:
-            if c.isalpha():
-                letters += 1
-                if c > "\u036f":
-                    k = next((k for end, k in SCRIPTS if ord(c) < end), "")
-                    if k:
-                        scripts[k] = scripts.get(k, 0) + 1
-        if "ja" in scripts:
-            scripts["ja"] += scripts.pop("zh", 0)
-        if scripts:
-            best = max(scripts, key=lambda k: (scripts[k], k))
-            if scripts[best] >= max(2, 0.3 * letters):
-                return best, scripts[best]
-    score = dict.fromkeys(_LANGUAGES, 0)
-    for w in words:
-        for k in _SPEAKS.get(w, ()):
-            score[k] += 1
-    first, second = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:2]
-    lead = first[1] - second[1]
-    return (first[0], lead) if first[1] >= least and lead >= 1 else (None, 0)
-
-
-def other_language(prompt: str, p: list[str], a: list[str]) -> bool:
-    """Whether the answer's words a are in another language than the prompt (words p); names that both have don't count."""
-    names = {w.lower() for w in _NAME.findall(prompt)}.intersection(p, a)
-    mine = [w for w in a if w not in names] if names else a
-    la, lead = language(mine, " ".join(mine))
-    if la is None or lead < 2:
+    refused = False
+    asked = set(prompt)
+    for s in _SENTENCE.split(text):
+        if s[:4] in ("yes,", "yes ", "yes.", "yes:") or s == "yes":
+            return False
+        refused = refused or declines(s)
+        if any(c.isdigit() for c in s) and any(n not in asked for n in _NUMBER.findall(s)):
+            return False
+    return refused
+
+
+_ANY_CUE = re.compile(r"n't\b|\bcan not\b|\b(?:" + "|".join(sorted(_CUES | _FOREIGN_WORDS)) + r")\b")
+
+
+def _spoken(words: list[str], names: set[str]) -> list[str]:
+    """The different words that are neither names nor numbers."""
+    return [w for w in dict.fromkeys(words) if w not in names and w[0] > "9" and (w.isalpha() or not any(c.isdigit() for c in w))]
+
+
+def other_language(prompt: str, p: list[str], names: set[str], answer: str, a: list[str], model: LanguageModel) -> bool:
+    """Whether the answer (words a) is in another language than the prompt (words p); names of the prompt and numbers don't count.
+
+    By script, or by the letter models if both are in Latin letters: a language for each must be more probable than the
+    best one for both by more than one word alone can say.
+    """
+    script, asked = script_of(answer), script_of(prompt)
+    if script or asked:
+        return bool(script != asked and p and (script or len(_spoken(a, names)) > 2))
+    own = _spoken(a, names)
+    if len(own) < 2 or not p:
+        return False
+    said = model.scores(own)
+    best = said.max()
+    if best - said.min() <= MOST_PER_WORD:
         return False
-    lp, _ = language([w for w in p if w not in names] if names else p, prompt, 1)
-    return lp is not None and la != lp
+    mine = model.prompt_scores(tuple(_spoken(p, names)))
+    return bool(best - (said + mine).max() > MOST_PER_WORD)
 
 
-def wording(prompt: str, answer: str) -> list[str]:
+def wording(names: set[str], answer: str) -> list[str]:
     """The answer's words with numbers as # and names of the prompt as §, for comparison with other answers."""
-    names = {w for w in _NAME.findall(prompt)}
     out: list[str] = []
     for w in answer.split():
+        if w.isalpha() and w not in names:
+            out.append(w)
+            continue
         core = w.strip("\"'“”()[]*.,;:?!")
         if core in names and core[:1].isupper() and (out or core not in ("The", "What", "Which", "Is", "Does", "How")):
             tail = w[w.rfind(core) + len(core) :]
@@ -257,11 +271,11 @@ def wording(prompt: str, answer: str) -> list[str]:
             else:
                 out.append(w[: w.find(core)] + "§" + tail)
         else:
-            out.append(_NUMBER.sub("#", w) if not w.isalpha() else w)
+            out.append(_NUMBER.sub("#", w))
     return out
 
 
-def breaks_off(prompt: str, answer: str) -> bool:
+def breaks_off(caps: set[str], answer: str) -> bool:
     """Whether the surface shows that the answer was cut: an open quote or bracket, a comma, a word that needs another."""
     s = answer.rstrip()
     if not s:
@@ -274,32 +288,34 @@ def breaks_off(prompt: str, answer: str) -> bool:
     if last.lower() in OPEN_ENDS and len(s.split()) > 1:
         return True
     # A word of a name in the prompt that stops short, or a name that stops before its last word.
-    caps = _NAME.findall(prompt)
     if last.isalpha() and last[0].isupper() and last not in caps and len(last) >= 2 and any(c.startswith(last) for c in caps) and len(s.split()) > 1 and s.split()[-2].strip('"(') in caps:
         return True
     return False
 
 
-def _judge(prompt: str | None, answer: str | None, may_decline: bool) -> tuple[str | None, list[str] | None]:
+def _judge(prompt: str | None, answer: str | None, may_decline: bool, model: LanguageModel) -> tuple[str | None, list[str] | None]:
     """(defect, None), or (None, wording) for pairs that the corpus must judge."""
     q, a = plain(prompt or ""), plain(answer or "")
     part = answer_part(a)
     if is_empty(part):
         return "empty", None
-    p = tokens_of(q)
-    own, t = without_prompt(p, part), tokens_of(part)
+    p, t, caps = tokens_of(q), tokens_of(part), set(_NAME.findall(q))
+    own = without_prompt(p, part, t)
     rest = t if own is part else tokens_of(own)
     if is_copy(p, t, rest):
         return "copies_question", None
     own, rest = (own, rest) if own else (part, t)
-    if not may_decline and is_refusal(own, rest):
+    if not may_decline and is_refusal(own, p):
         return "refusal", None
-    if other_language(q, p, rest):
+    names = {w.lower() for w in caps}
+    if len(p) > 1 and "".join(q.split(None, 2)[1:2])[:1].islower():
+        names.discard(p[0])  # a capital that only begins the sentence
+    if other_language(q, p, names, own, rest, model):
         return "other_language", None
     said = own if part == a else without_prompt(p, a) or a
-    if breaks_off(q, said):
+    if breaks_off(caps, said):
         return "truncated", None
-    return None, wording(q, said)
+    return None, wording(caps, said)
 
 
 def beginnings(words: list[str]) -> list[int]:
@@ -332,9 +348,12 @@ def defective_pairs(pairs: DataFrame, pair_id: str, prompt: str, answer: str, ma
     """
     rows = pairs.select(F.col(pair_id).alias("pair_id"), F.col(prompt).alias("q"), F.col(answer).alias("a"), F.coalesce(may_decline, F.lit(False)).alias("may"))
 
+    stops = stop_words(pairs.sparkSession)
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = model_of(stops)
         for b in batches:
-            out = [_judge(q, a, m) for q, a, m in zip(b["q"], b["a"], b["may"])]
+            out = [_judge(q, a, m, model) for q, a, m in zip(b["q"], b["a"], b["may"])]
             full = pd.array([None if w is None else beginnings(w)[-1] for _, w in out], dtype="Int64")
             pair = pd.array([None if w is None else pair_number(q, a) for (_, w), q, a in zip(out, b["q"], b["a"])], dtype="Int64")
             yield pd.DataFrame({"pair_id": b["pair_id"], "defect": [d for d, _ in out], "words": [None if w is None else " ".join(w) for _, w in out], "full": full, "pair": pair})
