@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Cells that stand for nothing.
 NO_VALUE = ("", "-", "–", "—", "n/a")
+#: Characters from which a clause is kept, those of its index entry, and rows of a table batch.
+LEAST_CLAUSE, MOST_ENTRY, BATCH = 40, 1800, 15
 
 
 def sections(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -40,16 +42,17 @@ def table_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     left out, empty cells and dashes are null. Tables without data rows give none.
     """
     t = F.regexp_replace(F.col(text), r"\r\n?", "\n")
-    lines = F.transform(F.split(t, "\n"), lambda s, i: F.struct(i.alias("line"), F.trim(s).alias("s")))
-    is_row = lambda x: x["s"].startswith("|")
-    d = df.where(F.col(text).contains("|")).select(*keys, lines.alias("__l"))
-    # A row is a header if the line before it is no row.
-    marked = F.transform("__l", lambda x: F.struct(x["line"].alias("line"), x["s"].alias("s"), (is_row(x) & ~F.coalesce(F.startswith(F.get("__l", x["line"] - 1)["s"], F.lit("|")), F.lit(False))).alias("head")))
-    d = d.select(*keys, marked.alias("__l")).withColumn("__heads", F.filter("__l", lambda x: x["head"]))
-    rows = F.filter("__l", lambda x: is_row(x) & ~x["head"] & ~x["s"].rlike(r"^[|\s:-]+$"))
-    d = d.select(*keys, "__heads", F.explode(rows).alias("r"))
-    header = F.element_at(F.filter("__heads", lambda h: h["line"] < F.col("r.line")), -1)["s"]
-    return d.select(*keys, F.col("r.line").alias("line"), _cells(header).alias("header"), _cells(F.col("r.s")).alias("cells"))
+    d = df.where(F.col(text).contains("|")).select(*keys, F.transform(F.split(t, "\n"), lambda s: F.trim(s)).alias("__l"))
+    # Runs of table rows by where they begin and end; every run is cut out once, so the work is in proportion to the text.
+    row_at = lambda i: F.coalesce(F.startswith(F.get("__l", i), F.lit("|")), F.lit(False))
+    places = F.sequence(F.lit(0), F.size("__l") - 1)
+    first = F.filter(places, lambda i: row_at(i) & ~row_at(i - 1))
+    last = F.filter(places, lambda i: row_at(i) & ~row_at(i + 1))
+    d = d.select(*keys, "__l", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("__run"))
+    run = F.slice("__l", F.col("__run.a") + 1, F.col("__run.b") - F.col("__run.a") + 1)
+    d = d.select(*keys, F.col("__run.a").alias("__a"), F.element_at(run, 1).alias("__head"), F.posexplode(run).alias("__i", "__s"))
+    d = d.where((F.col("__i") > 0) & ~F.col("__s").rlike(r"^[|\s:-]+$"))
+    return d.select(*keys, (F.col("__a") + F.col("__i")).alias("line"), _cells(F.col("__head")).alias("header"), _cells(F.col("__s")).alias("cells"))
 
 
 def cell_under(names: str) -> Column:
@@ -78,7 +81,7 @@ def first_integer(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d+)", 1).try_cast("long")
 
 
-def clauses(df: DataFrame, keys: list[str], text: str, least: int = 40, most: int = 1800) -> DataFrame:
+def clauses(df: DataFrame, keys: list[str], text: str, least: int = LEAST_CLAUSE, most: int = MOST_ENTRY) -> DataFrame:
     """(keys, seq, heading, clause, entry): paragraphs and numbered clauses under the last heading before them.
 
     A text is cut at blank lines, headings and lines that begin with a clause number; pieces under `least` characters
@@ -86,13 +89,16 @@ def clauses(df: DataFrame, keys: list[str], text: str, least: int = 40, most: in
     """
     t = F.regexp_replace(F.col(text), r"\r\n?", "\n")
     parts = F.filter(F.split(t, r"\n\s*\n|(?m)(?=^#{1,6} )|(?m)(?=^\d+(?:\.\d+)+ )"), lambda p: F.trim(p) != "")
-    d = df.where(F.col(text).isNotNull()).select(*keys, F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"))).alias("__p"))
-    d = d.withColumn("__h", F.filter("__p", lambda x: x["p"].rlike("^#{1,6} ")))
-    d = d.select(*keys, "__h", F.explode("__p").alias("x"))
-    above = F.filter("__h", lambda h: h["i"] <= F.col("x.i"))
-    heading = F.when(F.size(above) > 0, F.trim(F.regexp_extract(F.element_at(above, -1)["p"], r"^#{1,6} ([^\n]*)", 1)))
-    body = F.trim(F.col("x.p"))
-    return d.select(*keys, F.col("x.i").alias("seq"), heading.alias("heading"), body.alias("clause"), F.substring(body, 1, most).alias("entry")).where(F.length("clause") >= least)
+    d = df.where(F.col(text).isNotNull()).select(*keys, parts.alias("__p")).where(F.size("__p") > 0)
+    # Blocks of parts from one heading to the next; every block is cut out once, so the work is in proportion to the text.
+    begins = F.filter(F.sequence(F.lit(0), F.size("__p") - 1), lambda i: (i == 0) | F.get("__p", i).rlike("^#{1,6} "))
+    ends = F.concat(F.slice(begins, 2, F.size("__p")), F.array(F.size("__p")))
+    d = d.select(*keys, "__p", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("__b"))
+    block = F.slice("__p", F.col("__b.a") + 1, F.col("__b.b") - F.col("__b.a"))
+    d = d.select(*keys, F.col("__b.a").alias("__a"), F.element_at(block, 1).alias("__head"), F.posexplode(block).alias("__i", "__x"))
+    heading = F.when(F.col("__head").rlike("^#{1,6} "), F.trim(F.regexp_extract("__head", r"^#{1,6} ([^\n]*)", 1)))
+    body = F.trim(F.col("__x"))
+    return d.select(*keys, (F.col("__a") + F.col("__i")).alias("seq"), heading.alias("heading"), body.alias("clause"), F.substring(body, 1, most).alias("entry")).where(F.length("clause") >= least)
 
 
 def repaired_amounts(c: Column) -> Column:
@@ -109,7 +115,7 @@ def first_of(c: Column, patterns: dict[str, str]) -> Column:
     return out
 
 
-def batches(df: DataFrame, keys: list[str], order: str, size: int = 15) -> DataFrame:
+def batches(df: DataFrame, keys: list[str], order: str, size: int = BATCH) -> DataFrame:
     """df with `batch` (from 0): the rows of a key in lots of `size` in their order."""
     from ledgerloom.operators.ordered import numbered
 

@@ -76,10 +76,18 @@ def mode_of(df: DataFrame, keys: list[str], values: list[str], order: list[Colum
 
 
 def best_two(df: DataFrame, keys: list[str], name: str, score: str) -> DataFrame:
-    """(keys, best, best_score, second, margin): the first two of each group by score, names break ties; a group of one has no second and its score as margin."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(name))
-    d = df.select(*keys, F.col(name).alias("best"), F.col(score).alias("best_score"), F.lead(name).over(w).alias("second"), F.lead(score).over(w).alias("__s"), F.row_number().over(w).alias("__r"))
-    return d.where("__r = 1").select(*keys, "best", "best_score", "second", (F.col("best_score") - F.coalesce("__s", F.lit(0))).alias("margin"))
+    """(keys, best, best_score, second, margin): the first two of each group by score, names break ties; a group of one has no second and its score as margin.
+
+    Two stages: the best two of each group and salt (its names by hash), then of these few rows, so that no group is one task.
+    """
+    order = [F.desc(score), F.asc(name)]
+    d = df.select(*keys, name, score).withColumn("__salt", F.pmod(F.xxhash64(name), F.lit(64)))
+    for by in ([*keys, "__salt"], keys):
+        w = Window.partitionBy(*by).orderBy(*order)
+        d = d.withColumn("__r", F.row_number().over(w)).where("__r <= 2")
+    rows = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__r", F.col(name).alias("name"), F.col(score).alias("score")))).alias("two"))
+    first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    return rows.select(*keys, first["name"].alias("best"), first["score"].alias("best_score"), second["name"].alias("second"), (first["score"] - F.coalesce(second["score"], F.lit(0))).alias("margin"))
 
 
 def tier_of(value: Column, tiers: list[tuple[int, int]]) -> Column:

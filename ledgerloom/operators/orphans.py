@@ -55,7 +55,8 @@ def orphan_references(children: DataFrame, parents: DataFrame, record: Column, r
     c = children.select(record.cast("string").alias("src_key"), ref.alias("ref_key"), F.coalesce(F.col(child_loaded).cast("timestamp_ntz"), _last()).alias("t")).where("ref_key is not null")
     # The last t of all rows is that of a repeat at times; then a key is doubted that needn't be, and judged exactly below.
     keys = c.groupBy("ref_key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    there = existence(parents, parent_key, parent_loaded, parent_deleted)
+    # Read twice below: by all keys and by the doubtful ones.
+    there = written(existence(parents, parent_key, parent_loaded, parent_deleted), "there")
     spans = there.groupBy("key").agg(F.min("start").alias("first"), F.count("*").alias("n"), F.max("end").alias("last"))
     doubtful = keys.join(spans, F.col("ref_key") == F.col("key"), "left").where(F.col("key").isNull() | ~((F.col("n") == 1) & (F.col("first") <= F.col("t0")) & (F.col("t1") < F.col("last"))))
     doubtful = written(doubtful.select("ref_key", F.col("key").isNotNull().alias("known"), "first"), "doubtful")

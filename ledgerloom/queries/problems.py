@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import iso_day, key_of
 from ledgerloom.operators.asknown import as_known_join
+from ledgerloom.operators.bounded import lookup_join
 from ledgerloom.operators.orphans import orphan_references, orphan_report
 from ledgerloom.operators.packed import infer_delimiters, split_packed
 from ledgerloom.sources.tables import table
@@ -25,7 +26,8 @@ def p2_delimiters(spark: SparkSession, sf: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """The rate valid on the day of each line and known by then."""
     lines = table(spark, sf, "line_items").where("line_id is not null")
-    rated = as_known_join(lines, table(spark, sf, "dim_rate").join(F.broadcast(table(spark, sf, "dim_service").select("contract_id", "service").distinct()), ["contract_id", "service"]), {"contract_id": "contract_id", "description": "service"}, iso_day(F.col("service_date")), ["line_id", "loaded_at"], "valid_from", "valid_to", "known_from", "rate_ord", ["rate_ord", "rate_cents"])
+    listed = table(spark, sf, "dim_service").select("contract_id", "service").distinct()
+    rated = as_known_join(lines, lookup_join(table(spark, sf, "dim_rate"), listed, ["contract_id", "service"], "left_semi"), {"contract_id": "contract_id", "description": "service"}, iso_day(F.col("service_date")), ["line_id", "loaded_at"], "valid_from", "valid_to", "known_from", "rate_ord", ["rate_ord", "rate_cents"])
     # A line that was sent again counts by its earliest copy.
     first = F.min(F.struct("loaded_at", "rate_ord", "rate_cents"))
     return rated.groupBy("line_id").agg(first.alias("r")).select("line_id", "r.rate_ord", "r.rate_cents")
