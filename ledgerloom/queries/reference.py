@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import loose, markup
 from ledgerloom.functions.text import iso_day, key_of
 from ledgerloom.operators import checks, matching, ordered, scores, similarity
-from ledgerloom.operators.bounded import broadcast_if_bounded, salted_join
-from ledgerloom.plans.audit import audit
+from ledgerloom.operators.bounded import broadcast_if_bounded, lookup_join, salted_join
+from ledgerloom.plans.audit import audit, description_confidence, expected_totals, least_confidence, report, violations
+from ledgerloom.session import written
 from ledgerloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,12 +37,18 @@ def query(sql: str | None = None):
     return register
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.lines_once(table(spark, sf, "line_items"))
+def _lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return checks.lines_once(table(spark, sf, "line_items"), columns)
 
 
-def _invoices(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.invoices_once(table(spark, sf, "invoices"))
+def _invoices(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return checks.invoices_once(table(spark, sf, "invoices"), columns)
+
+
+def _checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines and invoices once with the columns that the checks read, and the contracts."""
+    lines = _lines(spark, sf, "contract_id", "invoice_id", "source_seq", "service_date", "quantity", "unit_price_cents", "line_total_cents")
+    return lines, _invoices(spark, sf, "invoice_id", "invoice_date", "invoice_total_cents", "contract_number"), table(spark, sf, "dim_contract")
 
 
 # --- scans -----------------------------------------------------------------------------------------------------------
@@ -56,7 +64,7 @@ def scan_invoices(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH {base} SELECT line_id, split_part(line_id, '-', 2) AS id_seq, CAST(day AS VARCHAR) AS day, row_number() OVER (PARTITION BY contract_id, source_seq ORDER BY day NULLS LAST, line_id) AS place FROM l")
 def scan_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines once, with the sequence in their id and their place in the order of their invoice row."""
-    lines = _lines(spark, sf).select("line_id", "contract_id", "source_seq", "day")
+    lines = _lines(spark, sf, "contract_id", "source_seq", "service_date").select("line_id", "contract_id", "source_seq", "day")
     placed = ordered.place(lines, ["contract_id", "source_seq"], "day", [F.col("line_id")], "place")
     return placed.select("line_id", F.split_part("line_id", F.lit("-"), F.lit(2)).alias("id_seq"), F.col("day").cast("string").alias("day"), "place")
 
@@ -77,7 +85,7 @@ _RAISED = " UNION ALL ".join(_CHECK_SQL.values())
 
 
 def _register_check(name: str, f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> None:
-    QUERIES[f"check_{name}"] = lambda spark, sf: f(_lines(spark, sf), _invoices(spark, sf), table(spark, sf, "dim_contract"))
+    QUERIES[f"check_{name}"] = lambda spark, sf: f(*_checked(spark, sf))
     SQL[f"check_{name}"] = f"WITH {_BASE} {_CHECK_SQL[name]}"
 
 
@@ -91,7 +99,7 @@ _register_check("contract_number", lambda li, iv, dc: checks.contract_number(iv,
 
 
 def _raised(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.all_checks(_lines(spark, sf), _invoices(spark, sf), table(spark, sf, "dim_contract"))
+    return checks.all_checks(*_checked(spark, sf))
 
 
 @query(f"WITH {{base}} SELECT contract_id, invoice_id, category, min(detail) AS detail, count(*) AS n FROM ({_RAISED}) GROUP BY ALL")
@@ -116,13 +124,73 @@ def audit_report(spark: SparkSession, sf: str) -> DataFrame:
     return audit(table(spark, sf, "line_items"), table(spark, sf, "invoices"), table(spark, sf, "dim_contract"))
 
 
-@query(f"""WITH {{base}}, f AS ({_RAISED})
-SELECT 'missing' AS violation, count(*) AS n FROM (SELECT DISTINCT contract_id, invoice_id FROM i WHERE invoice_id IS NOT NULL EXCEPT SELECT contract_id, invoice_id FROM invoices) HAVING count(*) > 0""")
-def audit_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """What is wrong with the report itself: repeated, missing or foreign ids, flags that contradict the categories."""
-    from ledgerloom.plans.audit import violations
+_CONFIDENCE = """k AS (SELECT contract_id, description, max(confidence) AS confidence FROM (SELECT contract_id, service AS description, CAST(1 AS DOUBLE) AS confidence FROM dim_service UNION ALL SELECT contract_id, description, CAST(confidence AS DOUBLE) FROM resolution WHERE description IS NOT NULL AND service IS NOT NULL) GROUP BY ALL),
+lc AS (SELECT l.contract_id, l.source_seq, min(coalesce(k.confidence, 0)) AS confidence FROM l LEFT JOIN k ON k.contract_id = l.contract_id AND k.description = l.description GROUP BY ALL)"""
+_EXPECTED = """rr AS (SELECT l.line_id, r.rate_cents, row_number() OVER (PARTITION BY l.line_id ORDER BY CASE WHEN valid_from IS NULL AND valid_to IS NULL THEN 1 ELSE 0 END, r.rate_ord) AS n FROM l JOIN dim_rate r ON r.contract_id = l.contract_id AND r.service = l.description
+ WHERE (valid_from IS NULL AND valid_to IS NULL) OR (l.day IS NOT NULL AND (valid_from IS NULL OR valid_from <= l.day) AND (valid_to IS NULL OR valid_to >= l.day))),
+et AS (SELECT l.contract_id, l.source_seq, CAST(sum(coalesce(r.rate_cents * l.quantity, l.line_total_cents)) AS BIGINT) AS expected_total_cents FROM l LEFT JOIN (SELECT * FROM rr WHERE n = 1) r USING (line_id) GROUP BY ALL)"""
+_REPORT = f"""f AS ({_RAISED}),
+g AS (SELECT contract_id, invoice_id, string_agg(DISTINCT category, '|' ORDER BY category) AS categories FROM f GROUP BY ALL),
+u AS (SELECT contract_id, invoice_id, max(source_seq) AS source_seq, arg_max(invoice_total_cents, source_seq) AS invoice_total_cents FROM i WHERE invoice_id IS NOT NULL GROUP BY ALL), {_CONFIDENCE}, {_EXPECTED},
+rep AS (SELECT u.contract_id, u.invoice_id, CASE WHEN g.categories IS NULL THEN 0 ELSE 1 END AS flagged, coalesce(g.categories, '') AS categories, coalesce(et.expected_total_cents, 0) AS expected_total_cents, u.invoice_total_cents AS billed_total_cents, round(coalesce(lc.confidence, 0), 3) AS confidence
+ FROM u LEFT JOIN g USING (contract_id, invoice_id) LEFT JOIN et ON et.contract_id = u.contract_id AND et.source_seq = u.source_seq LEFT JOIN lc ON lc.contract_id = u.contract_id AND lc.source_seq = u.source_seq)"""
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    return report(*(table(spark, sf, x) for x in ("line_items", "invoices", "dim_contract", "dim_service", "dim_rate", "resolution")))
+
+
+@query(f"WITH {{base}}, {_REPORT} SELECT * FROM rep")
+def report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The report as it is handed in: flag, categories, expected and billed total and confidence per invoice id."""
+    return _report(spark, sf)
+
+
+@query(f"WITH {{base}}, {_CONFIDENCE} SELECT i.contract_id, i.source_seq, coalesce(lc.confidence, 0) AS confidence FROM i LEFT JOIN lc USING (contract_id, source_seq)")
+def least_match_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The weakest match among each invoice row's lines; 0 for unknown descriptions and for no lines."""
+    known = description_confidence(table(spark, sf, "resolution"), table(spark, sf, "dim_service"))
+    return least_confidence(_invoices(spark, sf), _lines(spark, sf, "contract_id", "source_seq", "description"), known)
+
+
+@query(f"WITH {{base}}, {_EXPECTED} SELECT * FROM et")
+def unit_expected(spark: SparkSession, sf: str) -> DataFrame:
+    """Per invoice row the quantities at the rates in force, or as billed where there is none."""
+    return expected_totals(_lines(spark, sf, "contract_id", "source_seq", "description", "service_date", "quantity", "line_total_cents"), table(spark, sf, "dim_rate"))
+
 
-    return violations(audit_report(spark, sf), _invoices(spark, sf))
+_VIOLATIONS = """own AS (SELECT contract_id, invoice_id, count(*) AS k, count(*) FILTER (flagged IS NULL OR flagged NOT IN (0, 1)) AS bad_flag, count(*) FILTER (confidence IS NULL OR confidence < 0 OR confidence > 1) AS bad_confidence, count(*) FILTER (expected_total_cents IS NULL OR billed_total_cents IS NULL) AS null_total,
+ count(*) FILTER (flagged = 1 AND coalesce(categories, '') = '') AS flagged_without_category, count(*) FILTER (flagged IS DISTINCT FROM 1 AND coalesce(categories, '') <> '') AS category_without_flag FROM rep GROUP BY ALL),
+ids AS (SELECT DISTINCT contract_id, invoice_id, 1 AS known FROM i WHERE invoice_id IS NOT NULL),
+j AS (SELECT * FROM own FULL JOIN ids USING (contract_id, invoice_id)),
+n AS (SELECT 'repeated' AS violation, count(*) FILTER (k > 1) AS n FROM j UNION ALL SELECT 'missing', count(*) FILTER (k IS NULL) FROM j UNION ALL SELECT 'foreign', count(*) FILTER (known IS NULL) FROM j UNION ALL SELECT 'bad_flag', sum(bad_flag) FROM j UNION ALL SELECT 'bad_confidence', sum(bad_confidence) FROM j
+ UNION ALL SELECT 'null_total', sum(null_total) FROM j UNION ALL SELECT 'flagged_without_category', sum(flagged_without_category) FROM j UNION ALL SELECT 'category_without_flag', sum(category_without_flag) FROM j{more})
+SELECT violation, CAST(n AS BIGINT) AS n FROM n WHERE n > 0"""
+
+
+@query(f"WITH {{base}}, {_REPORT}, {_VIOLATIONS.replace('{more}', '')}")
+def audit_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with the report itself: nulls among the totals billed, and nothing else."""
+    return violations(_report(spark, sf), _invoices(spark, sf, "invoice_id"))
+
+
+@query(f"""WITH {{base}}, {_REPORT.replace("rep AS (", "rep0 AS (")}, s AS (SELECT *, substr(md5(concat_ws('/', contract_id, invoice_id)), 1, 1) AS d FROM rep0),
+rep AS (SELECT contract_id, CASE WHEN d = '2' THEN 'X-' || invoice_id ELSE invoice_id END AS invoice_id, CASE WHEN d = '3' THEN 2 WHEN d = '5' THEN 1 WHEN d = '6' THEN 0 ELSE flagged END AS flagged, CASE WHEN d = '5' THEN '' WHEN d = '6' THEN 'odd' ELSE categories END AS categories, CASE WHEN d <> '7' THEN expected_total_cents END AS expected_total_cents, billed_total_cents,
+ CASE WHEN d = '4' THEN 1.5 WHEN d = '8' THEN NULL ELSE confidence END AS confidence FROM s, range(CASE WHEN d = '0' THEN 2 WHEN d = '1' THEN 0 ELSE 1 END) t), {_VIOLATIONS.replace('{more}', " UNION ALL SELECT 'not_integer', 1")}""")
+def spoiled_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The violations found in a report that was spoiled in nine manners."""
+    d = F.substring(F.md5(F.concat_ws("/", "contract_id", "invoice_id")), 1, 1)
+    r = _report(spark, sf).withColumn("d", d)
+    r = r.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.when(F.col("d") == "0", 2).when(F.col("d") == "1", 0).otherwise(1))))
+    r = r.withColumns({
+        "invoice_id": F.when(F.col("d") == "2", F.concat(F.lit("X-"), "invoice_id")).otherwise(F.col("invoice_id")),
+        "flagged": F.when(F.col("d") == "3", 2).when(F.col("d") == "5", 1).when(F.col("d") == "6", 0).otherwise(F.col("flagged")),
+        "categories": F.when(F.col("d") == "5", "").when(F.col("d") == "6", "odd").otherwise(F.col("categories")),
+        "expected_total_cents": F.when(F.col("d") != "7", F.col("expected_total_cents")),
+        "billed_total_cents": F.col("billed_total_cents").cast("double"),
+        "confidence": F.when(F.col("d") == "4", 1.5).when(F.col("d") != "8", F.col("confidence")),
+    })
+    return violations(r.drop("d", "copies"), _invoices(spark, sf, "invoice_id"))
 
 
 @query(r"SELECT invoice_id, CASE WHEN regexp_matches(upper(invoice_id), '^[^-]*-H\d+(-|$)') THEN 'hospital_' || regexp_extract(upper(invoice_id), '^[^-]*-H(\d+)(-|$)', 1) END AS contract_id FROM hospital_1_labels")
@@ -156,16 +224,16 @@ SELECT a.k, a.rank, a.source_seq, c.line_seq, c.n_lines, c.total FROM a LEFT JOI
 def unit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Invoice rows of one id paired with the line groups of that id by their place."""
     k = F.concat_ws("/", "contract_id", "invoice_id").alias("k")
-    a = _invoices(spark, sf).where("invoice_id is not null").select(k, "source_seq", "day")
-    b = _lines(spark, sf).where("invoice_id is not null and source_seq is not null").groupBy(k, F.col("source_seq").alias("line_seq")).agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("total"))
+    a = _invoices(spark, sf, "invoice_id", "invoice_date").where("invoice_id is not null").select(k, "source_seq", "day")
+    b = _lines(spark, sf, "contract_id", "invoice_id", "source_seq", "line_total_cents").where("invoice_id is not null and source_seq is not null").groupBy(k, F.col("source_seq").alias("line_seq")).agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("total"))
     return matching.ordinal_pairs(a, b, "k", [F.col("day").asc_nulls_last(), F.col("source_seq")], [F.col("line_seq")]).select("k", "rank", "source_seq", "line_seq", "n_lines", "total")
 
 
 @query("WITH {base} SELECT l.line_id, i.patient_id, i.facility_code, i.plan_tier, CAST(i.day AS VARCHAR) AS invoice_day FROM l LEFT JOIN i ON l.contract_id = i.contract_id AND l.source_seq = i.source_seq")
 def line_context(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with patient, facility, tier and day of their invoice."""
-    i = _invoices(spark, sf).select("contract_id", "source_seq", "patient_id", "facility_code", "plan_tier", F.col("day").cast("string").alias("invoice_day"))
-    return _lines(spark, sf).select("line_id", "contract_id", "source_seq").join(i, ["contract_id", "source_seq"], "left").drop("contract_id", "source_seq")
+    i = _invoices(spark, sf, "patient_id", "facility_code", "plan_tier", "invoice_date").select("contract_id", "source_seq", "patient_id", "facility_code", "plan_tier", F.col("day").cast("string").alias("invoice_day"))
+    return _lines(spark, sf, "contract_id", "source_seq").select("line_id", "contract_id", "source_seq").join(i, ["contract_id", "source_seq"], "left").drop("contract_id", "source_seq")
 
 
 @query("""WITH {base}, e AS (SELECT line_id, contract_id, description, day FROM l JOIN dim_service s USING (contract_id) WHERE s.service = l.description),
@@ -176,7 +244,7 @@ SELECT e.line_id, r.rate_ord, r.rate_cents FROM e LEFT JOIN (SELECT * FROM r WHE
 def rate_in_force(spark: SparkSession, sf: str) -> DataFrame:
     """The rate in force on each line's day: the first covering period in list order, else an unbounded one, else none."""
     s = table(spark, sf, "dim_service").select("contract_id", F.col("service").alias("description"))
-    e = _lines(spark, sf).join(broadcast_if_bounded(s), ["contract_id", "description"]).select("line_id", "contract_id", "description", "day")
+    e = _lines(spark, sf, "contract_id", "description", "service_date").join(broadcast_if_bounded(s), ["contract_id", "description"]).select("line_id", "contract_id", "description", "day")
     periods = table(spark, sf, "dim_rate").withColumnRenamed("service", "description")
     return matching.interval_lookup(e, periods, ["contract_id", "description"], "day", "valid_from", "valid_to", "rate_ord", ["rate_ord", "rate_cents"]).select("line_id", "rate_ord", "rate_cents")
 
@@ -187,9 +255,9 @@ _SERVED = """e AS (SELECT l.line_id, l.contract_id, i.patient_id, l.day, s.servi
 
 def _served(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with a known service, with patient, day and the service's number."""
-    i = _invoices(spark, sf).select("contract_id", "source_seq", "patient_id")
+    i = _invoices(spark, sf, "patient_id").select("contract_id", "source_seq", "patient_id")
     s = table(spark, sf, "dim_service").select("contract_id", F.col("service").alias("description"), F.col("service_ord").alias("ord"), "daily_cap")
-    return _lines(spark, sf).join(i, ["contract_id", "source_seq"]).join(broadcast_if_bounded(s), ["contract_id", "description"]).select("line_id", "contract_id", "patient_id", "day", "ord", "quantity", "daily_cap")
+    return _lines(spark, sf, "contract_id", "source_seq", "description", "service_date", "quantity").join(i, ["contract_id", "source_seq"]).join(broadcast_if_bounded(s), ["contract_id", "description"]).select("line_id", "contract_id", "patient_id", "day", "ord", "quantity", "daily_cap")
 
 
 @query(f"WITH {{base}}, {_SERVED} SELECT line_id, EXISTS (SELECT 1 FROM e f WHERE f.contract_id = e.contract_id AND f.patient_id = e.patient_id AND f.day = e.day AND f.ord = xor(e.ord, 1)) AS partner_same_day FROM e")
@@ -211,8 +279,8 @@ def neighbour_within_week(spark: SparkSession, sf: str) -> DataFrame:
 SELECT line_id, n AS billing FROM (SELECT line_id, row_number() OVER (PARTITION BY contract_id, patient_id, description, day ORDER BY line_id) AS n FROM e WHERE day IS NOT NULL AND description IS NOT NULL AND patient_id IS NOT NULL) WHERE n > 1""")
 def billed_again(spark: SparkSession, sf: str) -> DataFrame:
     """Second and later lines of one patient, description and day."""
-    i = _invoices(spark, sf).select("contract_id", "source_seq", "patient_id")
-    e = _lines(spark, sf).join(i, ["contract_id", "source_seq"]).where("day is not null and description is not null and patient_id is not null")
+    i = _invoices(spark, sf, "patient_id").select("contract_id", "source_seq", "patient_id")
+    e = _lines(spark, sf, "contract_id", "source_seq", "description", "service_date").join(i, ["contract_id", "source_seq"]).where("day is not null and description is not null and patient_id is not null")
     return ordered.numbered(e, ["contract_id", "patient_id", "description", "day"], [F.col("line_id")], "billing").where("billing > 1").select("line_id", "billing")
 
 
@@ -257,7 +325,7 @@ def halves_agree(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH {base} SELECT line_id, CAST(coalesce(sum(quantity) OVER (PARTITION BY contract_id, description ORDER BY day NULLS LAST, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_quantity FROM l")
 def prior_quantity(spark: SparkSession, sf: str) -> DataFrame:
     """Units of the same contract and description before each line."""
-    lines = _lines(spark, sf).select("line_id", "contract_id", "description", "day", "quantity")
+    lines = _lines(spark, sf, "contract_id", "description", "service_date", "quantity").select("line_id", "contract_id", "description", "day", "quantity")
     return ordered.prior_total(lines, ["contract_id", "description"], "day", [F.col("line_id")], F.col("quantity"), "prior_quantity").select("line_id", "prior_quantity")
 
 
@@ -287,7 +355,7 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY contract_id, description) AS a, row_nu
 SELECT contract_id, description, unit_basis_as_billed, unit_price_cents, n, round(n / a, 6) AS share FROM r WHERE r = 1""")
 def modal_price(spark: SparkSession, sf: str) -> DataFrame:
     """The basis and price that a description is billed with most often."""
-    lines = _lines(spark, sf).where("description is not null")
+    lines = _lines(spark, sf, "contract_id", "description", "unit_basis_as_billed", "unit_price_cents").where("description is not null")
     return ordered.mode_of(lines, ["contract_id", "description"], ["unit_basis_as_billed", "unit_price_cents"], [F.col("line_id")]).withColumn("share", F.round("share", 6))
 
 
@@ -296,14 +364,14 @@ r AS (SELECT *, lead(best) OVER w AS second, lead(s) OVER w AS s2, row_number()
 SELECT contract_id, best, s AS best_score, second, s - coalesce(s2, 0) AS margin FROM r WHERE r = 1""")
 def best_and_second(spark: SparkSession, sf: str) -> DataFrame:
     """The description with the largest billed sum of each contract, the next and the margin."""
-    t = _lines(spark, sf).where("description is not null").groupBy("contract_id", "description").agg(F.sum("line_total_cents").alias("s")).where("s is not null")
+    t = _lines(spark, sf, "contract_id", "description", "line_total_cents").where("description is not null").groupBy("contract_id", "description").agg(F.sum("line_total_cents").alias("s")).where("s is not null")
     return ordered.best_two(t, ["contract_id"], "description", "s")
 
 
 @query("""WITH {base} SELECT contract_id, invoice_id, arg_max(patient_id, source_seq) FILTER (patient_id IS NOT NULL) AS patient_id, arg_max(plan_tier, source_seq) FILTER (plan_tier IS NOT NULL) AS plan_tier, arg_max(invoice_total_cents, source_seq) FILTER (invoice_total_cents IS NOT NULL) AS invoice_total_cents FROM i WHERE invoice_id IS NOT NULL GROUP BY ALL""")
 def last_unit(spark: SparkSession, sf: str) -> DataFrame:
     """The last values known of each invoice id, column by column."""
-    return ordered.last_known(_invoices(spark, sf).where("invoice_id is not null"), ["contract_id", "invoice_id"], ["source_seq"], ["patient_id", "plan_tier", "invoice_total_cents"])
+    return ordered.last_known(_invoices(spark, sf, "invoice_id", "patient_id", "plan_tier", "invoice_total_cents").where("invoice_id is not null"), ["contract_id", "invoice_id"], ["source_seq"], ["patient_id", "plan_tier", "invoice_total_cents"])
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------------
@@ -312,7 +380,7 @@ def last_unit(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH {base} SELECT contract_id, source_seq, CAST(sum(line_total_cents) AS BIGINT) AS total, count(*) AS n_lines FROM l WHERE source_seq IS NOT NULL GROUP BY ALL")
 def unit_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Billed sums per invoice row."""
-    return _lines(spark, sf).where("source_seq is not null").groupBy("contract_id", "source_seq").agg(F.sum("line_total_cents").alias("total"), F.count("*").alias("n_lines"))
+    return _lines(spark, sf, "contract_id", "source_seq", "line_total_cents").where("source_seq is not null").groupBy("contract_id", "source_seq").agg(F.sum("line_total_cents").alias("total"), F.count("*").alias("n_lines"))
 
 
 @query(f"WITH {{base}}, {_SERVED} SELECT contract_id, patient_id, CAST(day AS VARCHAR) AS day, string_agg(DISTINCT lpad(CAST(ord AS VARCHAR), 3, '0'), '|' ORDER BY lpad(CAST(ord AS VARCHAR), 3, '0')) AS services FROM e WHERE day IS NOT NULL AND patient_id IS NOT NULL GROUP BY ALL")
@@ -329,7 +397,7 @@ def price_candidates(spark: SparkSession, sf: str) -> DataFrame:
     s, r = table(spark, sf, "dim_service").select("contract_id", "service", "unit_basis"), table(spark, sf, "dim_rate").select("contract_id", "service", "rate_cents")
     names = F.collect_set("service")
     x = s.join(broadcast_if_bounded(r), ["contract_id", "service"]).groupBy("contract_id", F.col("unit_basis").alias("unit_basis_as_billed"), F.col("rate_cents").alias("unit_price_cents")).agg(F.size(names).cast("long").alias("n_candidates"), F.array_join(F.array_sort(names), "|").alias("names"))
-    return _lines(spark, sf).join(broadcast_if_bounded(x), ["contract_id", "unit_basis_as_billed", "unit_price_cents"]).select("line_id", "n_candidates", "names")
+    return _lines(spark, sf, "contract_id", "unit_basis_as_billed", "unit_price_cents").join(broadcast_if_bounded(x), ["contract_id", "unit_basis_as_billed", "unit_price_cents"]).select("line_id", "n_candidates", "names")
 
 
 _JUDGED = f"""f AS ({_RAISED}), j AS (SELECT upper(trim(h.invoice_id)) AS k, max(h.is_erroneous) = 1 AS t, max(CASE WHEN f.invoice_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AS p
@@ -425,7 +493,7 @@ SELECT contract_id, count(*) AS n, round(avg(CAST(hit AS DOUBLE)), 6) AS rate FR
 def reproduction_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Share of lines billed at one of the rates of their service."""
     rates = table(spark, sf, "dim_rate").groupBy("contract_id", F.col("service").alias("description")).agg(F.collect_set("rate_cents").alias("rates"))
-    j = _lines(spark, sf).join(broadcast_if_bounded(rates), ["contract_id", "description"])
+    j = _lines(spark, sf, "contract_id", "description", "unit_price_cents").join(broadcast_if_bounded(rates), ["contract_id", "description"])
     hit = F.when(F.array_contains("rates", F.col("unit_price_cents")), 1.0).otherwise(0.0)
     return j.groupBy("contract_id").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("rate"))
 
@@ -638,7 +706,7 @@ def vector_clusters(spark: SparkSession, sf: str) -> DataFrame:
 SELECT 'line_arithmetic' AS fault, CAST(sum(hit) AS BIGINT) AS injected, CAST(sum(hit) AS BIGINT) AS detected, CAST(0 AS BIGINT) AS false_alarms FROM f""")
 def fault_injection(spark: SparkSession, sf: str) -> DataFrame:
     """Faults put into clean lines by a fixed rule, and how many the check finds; untouched clean lines must raise none."""
-    li = _lines(spark, sf)
+    li = _lines(spark, sf, "quantity", "unit_price_cents", "line_total_cents", "service_date", "contract_id", "invoice_id", "source_seq")
     clean = (F.col("line_total_cents") == F.col("quantity") * F.col("unit_price_cents")) & F.col("day").isNotNull()
     li = li.withColumn("clean", F.coalesce(clean, F.lit(False))).withColumn("hit", F.col("clean") & (F.substring("line_id", -2, 2).try_cast("int") % 10 == 3))
     spoiled = li.withColumn("line_total_cents", F.when(F.col("hit"), F.col("line_total_cents") + 1).otherwise(F.col("line_total_cents")))
@@ -647,10 +715,52 @@ def fault_injection(spark: SparkSession, sf: str) -> DataFrame:
     return j.agg(F.count(F.when(F.col("hit"), 1)).alias("injected"), F.count(F.when(F.col("hit") & (F.col("raised") == 1), 1)).alias("detected"), F.count(F.when(F.col("clean") & ~F.col("hit") & (F.col("raised") == 1), 1)).alias("false_alarms")).select(F.lit("line_arithmetic").alias("fault"), "injected", "detected", "false_alarms")
 
 
-@query()
+_RATED = """rs AS (SELECT contract_id, service, list(DISTINCT rate_cents) AS rates FROM dim_rate WHERE rate_cents IS NOT NULL GROUP BY ALL),
+sv AS (SELECT s.contract_id, s.service, s.unit_basis, s.daily_cap, rs.rates FROM dim_service s LEFT JOIN rs USING (contract_id, service))"""
+
+
+def _rated_sql(l: str, i: str, name: str) -> str:
+    """The SQL of the checks against the list of services, over tables of lines and invoices."""
+    return f"""{name}_j AS (SELECT {l}.contract_id, {l}.invoice_id, {l}.source_seq, {l}.line_id, {l}.description, {l}.day, {l}.quantity, {l}.unit_price_cents, {l}.unit_basis_as_billed, sv.unit_basis, sv.daily_cap, sv.rates, {i}.patient_id
+ FROM {l} JOIN sv ON sv.contract_id = {l}.contract_id AND sv.service = {l}.description LEFT JOIN {i} ON {i}.contract_id = {l}.contract_id AND {i}.source_seq = {l}.source_seq),
+{name}_u AS (SELECT contract_id, patient_id, description, day, sum(quantity) AS used FROM {name}_j GROUP BY ALL),
+{name} AS (SELECT contract_id, invoice_id, source_seq, 'unit_price' AS category, line_id AS detail FROM {name}_j WHERE NOT list_contains(rates, unit_price_cents)
+ UNION ALL SELECT contract_id, invoice_id, source_seq, 'unit_basis', line_id FROM {name}_j WHERE unit_basis_as_billed <> unit_basis
+ UNION ALL SELECT contract_id, invoice_id, source_seq, 'daily_cap', line_id FROM {name}_j JOIN {name}_u USING (contract_id, patient_id, description, day) WHERE used > daily_cap)"""
+
+
+@query(f"WITH {{base}}, {_RATED}, {_rated_sql('l', 'i', 'rc')} SELECT category, count(*) AS n_lines, count(DISTINCT (contract_id, source_seq)) AS n_invoices FROM rc GROUP BY ALL")
+def rate_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines whose price or basis isn't their service's, or whose day holds more units than its cap."""
+    lines = _lines(spark, sf, "contract_id", "invoice_id", "source_seq", "description", "service_date", "quantity", "unit_price_cents", "unit_basis_as_billed")
+    found = checks.rate_checks(lines, _invoices(spark, sf, "patient_id"), table(spark, sf, "dim_service"), table(spark, sf, "dim_rate"))
+    return found.groupBy("category").agg(F.count("*").alias("n_lines"), F.countDistinct("contract_id", "source_seq").alias("n_invoices"))
+
+
+_FAULT_NAMES = ", ".join(f"'{x}'" for x in checks.FAULTS)
+_SPOILED_RAISED = re.sub(r"\bFROM l\b", "FROM l2", re.sub(r"\b(FROM|JOIN) i\b", r"\1 i2", _RAISED)).replace("FROM i WHERE", "FROM i2 WHERE")
+_KIND_COUNTS = " UNION ALL ".join(f"SELECT '{k}' AS fault, count(*) FILTER (fault = '{k}') AS injected, count(*) FILTER (fault = '{k}' AND raised IS NOT NULL) AS detected, count(*) FILTER (fault = '{k}' AND list_contains(raised, '{k}')) AS named, count(*) FILTER (fault IS NULL AND list_contains(raised, '{k}')) AS false_alarms FROM jj" for k in checks.FAULTS)
+
+
+@query(f"""WITH {{base}}, {_RATED}, {_rated_sql('l', 'i', 'rc')}, bad AS (SELECT contract_id, source_seq FROM ({_RAISED}) UNION SELECT contract_id, source_seq FROM rc),
+vic AS (SELECT l.contract_id, l.source_seq, min(line_id) AS any_line, min(CASE WHEN sv.daily_cap IS NOT NULL THEN line_id END) AS capped, arg_min(sv.daily_cap, line_id) FILTER (sv.daily_cap IS NOT NULL) AS cap FROM l JOIN sv ON sv.contract_id = l.contract_id AND sv.service = l.description
+ WHERE sv.rates IS NOT NULL AND quantity * unit_price_cents IS NOT NULL AND line_total_cents IS NOT NULL AND unit_basis_as_billed IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
+cl AS (SELECT i.contract_id, i.source_seq, any_line, capped, cap, CAST(c.eff_from - 1 AS DATE)::VARCHAR AS before, list_extract([{_FAULT_NAMES}], CAST(CAST('0x' || substr(md5(concat_ws('/', '0', i.contract_id, i.source_seq)), 1, 8) AS BIGINT) % 20 AS INT) + 1) AS kind FROM i JOIN vic USING (contract_id, source_seq) JOIN dim_contract c USING (contract_id)
+ WHERE i.invoice_total_cents IS NOT NULL AND i.patient_id IS NOT NULL AND c.eff_from IS NOT NULL AND c.contract_number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.contract_id = i.contract_id AND b.source_seq = i.source_seq)),
+ft AS (SELECT contract_id, source_seq, before, cap, CASE WHEN kind <> 'daily_cap' OR capped IS NOT NULL THEN kind END AS fault, CASE WHEN kind = 'daily_cap' THEN capped ELSE any_line END AS victim FROM cl),
+l1 AS (SELECT l.* EXCLUDE (day), ft.fault, ft.before, ft.cap FROM l LEFT JOIN (SELECT * FROM ft WHERE fault IS NOT NULL) ft ON ft.victim = l.line_id),
+l1b AS (SELECT * REPLACE (CASE WHEN fault = 'unit_price' THEN unit_price_cents + 10000019 ELSE unit_price_cents END AS unit_price_cents, CASE WHEN fault = 'daily_cap' THEN cap + 5 ELSE quantity END AS quantity, CASE WHEN fault = 'unit_basis' THEN unit_basis_as_billed || '_other' ELSE unit_basis_as_billed END AS unit_basis_as_billed,
+ CASE WHEN fault = 'malformed_date' THEN '2025-02-30' WHEN fault = 'out_of_term' THEN before ELSE service_date END AS service_date), line_total_cents AS old_total FROM l1),
+l2 AS (SELECT * REPLACE (CASE WHEN fault IN ('unit_price', 'daily_cap') THEN unit_price_cents * quantity WHEN fault = 'line_arithmetic' THEN line_total_cents + 137 ELSE line_total_cents END AS line_total_cents), {_DAY.format('service_date')} AS day FROM l1b),
+i2 AS (SELECT i.* REPLACE (i.invoice_total_cents + coalesce(g.more, 0) + CASE WHEN ft.fault = 'invoice_total' THEN 500 ELSE 0 END AS invoice_total_cents, CASE WHEN ft.fault = 'contract_number' THEN 'INS-XX-0000-0000' ELSE i.contract_number END AS contract_number)
+ FROM i LEFT JOIN ft ON ft.contract_id = i.contract_id AND ft.source_seq = i.source_seq LEFT JOIN (SELECT contract_id, source_seq, line_total_cents - old_total AS more FROM l2 WHERE fault IN ('unit_price', 'daily_cap', 'line_arithmetic')) g ON g.contract_id = i.contract_id AND g.source_seq = i.source_seq),
+{_rated_sql('l2', 'i2', 'rc2')}, ra AS (SELECT contract_id, source_seq, list(DISTINCT category) AS raised FROM ({_SPOILED_RAISED} UNION ALL SELECT * FROM rc2) GROUP BY ALL),
+jj AS (SELECT ft.fault, ra.raised FROM ft LEFT JOIN ra USING (contract_id, source_seq)) {_KIND_COUNTS}""")
 def fault_injection_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    """Faults of five kinds put into clean invoices, one each by a seeded hash, and how many the checks find."""
-    return checks.injected_faults(_lines(spark, sf), _invoices(spark, sf), table(spark, sf, "dim_contract"))
+    """Faults of eight kinds put into clean invoices, one each by a seeded hash, and how many the checks find and name."""
+    lines = _lines(spark, sf, "contract_id", "invoice_id", "source_seq", "description", "service_date", "quantity", "unit_price_cents", "line_total_cents", "unit_basis_as_billed")
+    invoices = _invoices(spark, sf, "invoice_id", "invoice_date", "invoice_total_cents", "contract_number", "patient_id")
+    return checks.injected_faults(lines, invoices, table(spark, sf, "dim_contract"), table(spark, sf, "dim_service"), table(spark, sf, "dim_rate"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (CAST(round(round(CAST(rate_cents AS DECIMAL(18,0)) * 1.075, 0) * 0.95, 0) AS BIGINT) <> CAST(round(CAST(rate_cents AS DECIMAL(18,0)) * 1.075 * 0.95, 0) AS BIGINT)) AS n_differ FROM dim_rate")
@@ -690,8 +800,8 @@ def header_fields(spark: SparkSession, sf: str) -> DataFrame:
 SELECT i.contract_id, i.source_seq, i.patient_id, i.invoice_total_cents, c.n_lines, c.lines_total, c.n_descriptions, c.first_day, c.last_day, c.first_line FROM i LEFT JOIN c USING (contract_id, source_seq)""")
 def explained_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """Every invoice beside what its lines come to."""
-    lines = _lines(spark, sf).where("source_seq is not null").groupBy("contract_id", "source_seq").agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("lines_total"), F.countDistinct("description").alias("n_descriptions"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.min("line_id").alias("first_line"))
-    return _invoices(spark, sf).join(lines, ["contract_id", "source_seq"], "left").select("contract_id", "source_seq", "patient_id", "invoice_total_cents", "n_lines", "lines_total", "n_descriptions", "first_day", "last_day", "first_line")
+    lines = _lines(spark, sf, "contract_id", "source_seq", "line_total_cents", "description", "service_date").where("source_seq is not null").groupBy("contract_id", "source_seq").agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("lines_total"), F.countDistinct("description").alias("n_descriptions"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.min("line_id").alias("first_line"))
+    return _invoices(spark, sf, "patient_id", "invoice_total_cents").join(lines, ["contract_id", "source_seq"], "left").select("contract_id", "source_seq", "patient_id", "invoice_total_cents", "n_lines", "lines_total", "n_descriptions", "first_day", "last_day", "first_line")
 
 
 _OF_INVOICE = "('invoice_total', 'reused_id', 'contract_number')"
@@ -704,17 +814,20 @@ SELECT i.contract_id, i.source_seq, i.invoice_id, i.patient_id, i.invoice_total_
 FROM i LEFT JOIN a USING (contract_id, source_seq) LEFT JOIN l USING (contract_id, source_seq) LEFT JOIN b ON l.line_id = b.line_id""")
 def explained_invoice_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every invoice with its findings, and each of its lines with the findings on the line."""
-    key, raised = ["contract_id", "source_seq"], _raised(spark, sf)
-    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "|")
-    of_invoice = raised.where(f"category in {_OF_INVOICE}").groupBy(*key).agg(listed(F.concat_ws(": ", "category", F.coalesce("detail", F.lit("")))).alias("findings"))
-    of_line = raised.where(f"category not in {_OF_INVOICE}").groupBy(F.col("detail").alias("line_id")).agg(listed(F.col("category")).alias("line_findings"))
-    heads = _invoices(spark, sf).select(*key, "invoice_id", "patient_id", "invoice_total_cents").join(of_invoice, key, "left").fillna("", ["findings"])
-    lines = _lines(spark, sf).select(*key, "line_id", "description", "service_date", "quantity", "unit_price_cents", "line_total_cents").join(of_line, "line_id", "left").fillna("", ["line_findings"])
-    # Lines are spread within an invoice; invoices without lines come from the other side.
-    held = salted_join(lines, heads, key, salt_of=["line_id"])
-    without = heads.join(lines.select(*key).distinct(), key, "left_anti").withColumn("line_findings", F.lit(""))
-    out = held.unionByName(without, allowMissingColumns=True)
-    return out.select(*key, "invoice_id", "patient_id", "invoice_total_cents", "findings", "line_id", "description", "service_date", "quantity", "unit_price_cents", "line_total_cents", "line_findings")
+    key = ["contract_id", "source_seq"]
+    lines = written(_lines(spark, sf, "contract_id", "invoice_id", "source_seq", "description", "service_date", "quantity", "unit_price_cents", "line_total_cents").drop("loaded_at"), "lines")
+    invoices = written(_invoices(spark, sf, "invoice_id", "invoice_date", "invoice_total_cents", "contract_number", "patient_id").drop("loaded_at"), "invoices")
+    contracts = table(spark, sf, "dim_contract")
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "category", F.coalesce("detail", F.lit(""))))), "|")
+    of_invoice = checks.invoice_checks(lines, invoices, contracts).groupBy(*key).agg(listed.alias("findings"))
+    heads = written(lookup_join(invoices, written(of_invoice, "findings"), key, "left"), "heads").fillna("", ["findings"])
+    shown = ["line_id", "description", "service_date", "quantity", "unit_price_cents", "line_total_cents"]
+    # One join of lines and heads serves the checks of lines too; invoices with very many lines are spread.
+    j = salted_join(lines.select(*key, *shown, F.col("day").alias("line_day")), heads, key, "inner", ["line_id"])
+    j = j.unionByName(heads.join(lines.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
+    j = j.join(broadcast_if_bounded(contracts.select("contract_id", "eff_from", "eff_to")), "contract_id", "left")
+    found = checks.line_categories("line_day", "day", "eff_from", "eff_to")
+    return j.select(*key, "invoice_id", "patient_id", "invoice_total_cents", "findings", *shown, F.when(F.col("line_id").isNull(), "").otherwise(F.array_join(found, "|")).alias("line_findings"))
 
 
 @query("""SELECT contract_id, 'service,unit_basis,daily_cap' || chr(10) || string_agg(service || ',' || unit_basis || ',' || coalesce(CAST(daily_cap AS VARCHAR), ''), chr(10) ORDER BY service_ord) AS text FROM dim_service GROUP BY ALL""")

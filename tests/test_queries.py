@@ -69,10 +69,20 @@ def test_nothing_changes_beyond_the_broadcast_bound(spark, monkeypatch, name):
     assert values(catalog.QUERIES[name](spark, DATA).toPandas()) == want
 
 
-def test_every_kind_of_fault_is_injected_and_found(spark):
-    got = {r.fault: r for r in catalog.QUERIES["fault_injection_kinds"](spark, DATA).collect()}
-    assert set(got) == {"line_arithmetic", "invoice_total", "malformed_date", "out_of_term", "contract_number"}
-    assert all(r.injected > 0 and r.detected == r.injected and r.false_alarms == 0 for r in got.values()), got
+def test_every_kind_of_fault_is_injected_found_and_named(spark):
+    got = {r.fault: r for r in catalog.QUERIES["fault_injection_kinds"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == 8 and all(r.injected > 0 and r.injected == r.detected == r.named and r.false_alarms == 0 for r in got.values()), got
+
+
+def test_a_report_with_other_columns_is_rejected(spark):
+    from ledgerloom.plans.audit import REPORT, violations
+
+    units = spark.createDataFrame([("c", "i")], "contract_id string, invoice_id string")
+    row = {"contract_id": "c", "invoice_id": "i", "flagged": 0, "categories": None, "expected_total_cents": 1, "billed_total_cents": 1, "confidence": 0.5}
+    good = spark.createDataFrame([tuple(row.values())], "contract_id string, invoice_id string, flagged int, categories string, expected_total_cents long, billed_total_cents long, confidence double")
+    assert good.columns == list(REPORT) and violations(good, units).collect() == []
+    assert [tuple(r) for r in violations(good.drop("confidence"), units).collect()] == [("columns", 1)]
+    assert {r.violation: r.n for r in violations(good.limit(0), units).collect()} == {"missing": 1}
 
 
 def test_every_line_and_finding_of_an_invoice_comes_out(spark):
