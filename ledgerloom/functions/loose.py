@@ -44,14 +44,6 @@ def payload_kind(c: Column) -> Column:
     return F.when(c.isNull() | json_payload(c).isNull(), "none").when(whole, "plain").when(fenced, "fenced").otherwise("chatty")
 
 
-def envelope(v: Column, record_key: str = "service") -> Column:
-    """How a variant carries its records: ok (under services), renamed (data, items, rows, results), bare_list, single_object or empty."""
-    kind = F.schema_of_variant(v)
-    has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
-    renamed = has("data") | has("items") | has("rows") | has("results")
-    return F.when(v.isNull(), "empty").when(kind.startswith("ARRAY"), "bare_list").when(has("services"), "ok").when(renamed, "renamed").when(has(record_key), "single_object").otherwise("empty")
-
-
 def lenient_day(c: Column) -> Column:
     """A day from the first ten characters; null if they are none."""
     return F.try_to_date(F.regexp_extract(F.trim(c), r"\A([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})", 1), "yyyy-M-d")
@@ -68,17 +60,26 @@ def states_any(text: Column, forms: Column) -> Column:
     return F.exists(forms, lambda f: F.rlike(text, F.concat(F.lit(r"(?<![0-9.,])"), F.regexp_replace(f, r"\.", r"\\."), F.lit(r"(?![0-9]|[.,][0-9])"))))
 
 
-def rate_periods(v: Column) -> Column:
-    """The dated rates of a record (variant) in any of three forms, as array<struct<cents, valid_from, valid_to>>.
-
-    rates: [{cents, valid_from, valid_to}]; or rate with rate_after and change_date (two periods, the first ending the
-    day before); or rate alone (one open period). Null if the record has none of them.
-    """
-    kind = "array<struct<cents:bigint,valid_from:date,valid_to:date>>"
-    get = lambda p, t: F.try_variant_get(v, f"$.{p}", t)
-    day, none = lenient_day(get("change_date", "string")), F.lit(None).cast("date")
-    period = lambda c, a, b: F.struct(c.alias("cents"), a.alias("valid_from"), b.alias("valid_to"))
-    rate, after = get("rate", "bigint"), get("rate_after", "bigint")
-    listed = get("rates", "array<struct<cents:bigint,valid_from:string,valid_to:string>>")
-    listed = F.transform(listed, lambda r: period(r["cents"], lenient_day(r["valid_from"]), lenient_day(r["valid_to"])))
-    return F.when(F.size(listed) > 0, listed).when(after.isNotNull() & day.isNotNull(), F.array(period(rate, none, F.date_sub(day, 1)), period(after, day, none))).when(rate.isNotNull(), F.array(period(rate, none, none))).cast(kind)
+#: Numbers as words.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+
+
+def percent_forms(share: Column) -> Column:
+    """The ways a share may be written: 7.5%, 7.5 %, 7.5 percent and 7.5 per cent, without trailing zeros."""
+    n = F.regexp_replace((share * 100).cast("decimal(12,4)").cast("string"), r"\.?0+$", "")
+    return F.array(F.concat(n, F.lit("%")), F.concat(n, F.lit(" %")), F.concat(n, F.lit(" percent")), F.concat(n, F.lit(" per cent")))
+
+
+def number_forms(n: Column) -> Column:
+    """A whole number in digits and, up to twenty, as a word."""
+    return F.array_distinct(F.array(n.cast("string"), F.coalesce(F.get(F.array(*map(F.lit, NUMBER_WORDS)), n.cast("int")), n.cast("string"))))
+
+
+def has_money(text: Column) -> Column:
+    """Whether a text states an amount: a currency before digits, two decimals, or three and more digits of cents."""
+    return F.rlike(F.lower(text), F.lit(r"(gbp|£)\s?\d|\d[\d,]*\.\d{2}\b|\b\d{3,}\s?cents"))
+
+
+def contains_any(text: Column, forms: Column) -> Column:
+    """Whether a text has one of the forms, in any case, anywhere."""
+    return F.exists(forms, lambda f: F.contains(F.lower(text), F.lower(f)))

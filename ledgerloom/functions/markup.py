@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells that stand for nothing.
@@ -126,3 +126,61 @@ def batches(df: DataFrame, keys: list[str], order: str, size: int = BATCH) -> Da
 def normal(c: Column) -> Column:
     """Lower case with every run of other characters than letters and digits as one blank, trimmed."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+
+
+def last_sections(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of (keys, seq, title, body) the titled sections, of those with the same title in one document the last."""
+    return df.where("title is not null").groupBy(*keys, "title").agg(F.max("seq").alias("seq"), F.max_by("body", "seq").alias("body")).select(*keys, "seq", "title", "body")
+
+
+def articles(df: DataFrame, keys: list[str], text: str, marker: str, clause: str) -> DataFrame:
+    """(keys, title, text, n_clauses): the sections whose title has the marker, with their clauses counted; for texts without
+    one, the clauses gathered by the number before the first point of theirs.
+
+    clause: a pattern that begins a clause on a line of its own. A text without such sections and clauses gives no rows.
+    """
+    s = last_sections(sections(df, keys, text), keys).where(F.contains(F.lower("title"), F.lit(marker.lower())))
+    marked = s.select(*keys, "title", F.btrim("body", F.lit(" \t\n")).alias("text"), F.regexp_count("body", F.lit(f"(?m){clause}")).alias("n_clauses"))
+    rest = df.where(F.col(text).isNotNull()).join(s.select(*keys).distinct(), keys, "left_anti")
+    parts = F.filter(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), f"(?m)(?={clause})"), lambda p: F.rlike(p, F.lit(f"^{clause.lstrip('^')}")))
+    c = rest.select(*keys, F.posexplode(parts).alias("__i", "__c")).withColumn("__n", F.split_part("__c", F.lit("."), F.lit(1)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", F.btrim("__c", F.lit(" \t\n")).alias("c")))), lambda x: x["c"]), "\n\n")
+    return marked.unionByName(c.groupBy(*keys, "__n").agg(joined.alias("text"), F.count("*").cast("int").alias("n_clauses")).select(*keys, F.concat(F.lit("Article "), "__n").alias("title"), "text", "n_clauses"))
+
+
+def table_batches(df: DataFrame, keys: list[str], size: int = BATCH, least: int = 3) -> DataFrame:
+    """Of (keys, line, header, cells) lots of `size` rows as texts that keep their header: (keys, table, first, last, n_rows, text).
+
+    `table` is the line of the table's header; tables of fewer than `least` rows are left out. Null cells are blank.
+    """
+    w = Window.partitionBy(*keys).orderBy("line")
+    cells = lambda c: F.concat(F.lit("| "), F.array_join(c, " | ", ""), F.lit(" |"))
+    # A table begins where the line before isn't the row before (or the rule under the header).
+    d = df.withColumn("__new", F.coalesce((F.col("line") - F.lag("line").over(w) > 1) | ~F.col("header").eqNullSafe(F.lag("header").over(w)), F.lit(True)))
+    d = d.withColumn("table", F.sum(F.col("__new").cast("int")).over(w))
+    t = Window.partitionBy(*keys, "table")
+    d = d.withColumns({"__n": F.row_number().over(t.orderBy("line")), "__all": F.count("*").over(t)}).where(F.col("__all") >= least)
+    g = d.groupBy(*keys, "table", F.floor((F.col("__n") - 1) / size).alias("__lot")).agg(F.min("__n").cast("long").alias("first"), F.max("__n").cast("long").alias("last"), F.count("*").alias("n_rows"), F.first("header").alias("h"), F.array_sort(F.collect_list(F.struct("__n", cells(F.col("cells")).alias("c")))).alias("rows"))
+    return g.select(*keys, "table", "first", "last", "n_rows", F.concat(cells(F.col("h")), F.lit("\n"), F.array_join(F.transform("rows", lambda x: x["c"]), "\n")).alias("text"))
+
+
+def quoted(c: Column, patterns: dict[str, str]) -> list[Column]:
+    """For each named pattern a column with its first match in a text, null if there is none."""
+    return [F.when(F.rlike(c, F.lit(p)), F.trim(F.regexp_extract(c, f"({p})", 1))).alias(n) for n, p in patterns.items()]
+
+
+def stated(df: DataFrame, keys: list[str], text: str, shapes: dict[str, tuple[str, dict[str, int]]]) -> DataFrame:
+    """(keys, family, one column per field): what sentences of the given shapes state, every match a row.
+
+    shapes: family -> (pattern, {field: group}); fields that a family lacks are null.
+    """
+    fields = list(dict.fromkeys(f for _, g in shapes.values() for f in g))
+    none = F.lit(None).cast("string")
+
+    def matches(family: str) -> Column:
+        pattern, groups = shapes[family]
+        zipped = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f) for f, k in groups.items()])
+        return F.transform(zipped, lambda x: F.struct(F.lit(family).alias("family"), *[(x[f] if f in groups else none).alias(f) for f in fields]))
+
+    found = [matches(family) for family in shapes]
+    return df.where(F.col(text).isNotNull()).select(*keys, F.explode(F.concat(*found)).alias("__x")).select(*keys, "__x.*")

@@ -85,3 +85,42 @@ def grouping_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     top = (F.col("p_a") + F.col("p_b")) / 2
     rand = F.when((n < 2) | (F.abs(top - expected) < 1e-12), 1.0).otherwise((F.col("p_ab") - expected) / (top - expected))
     return one.select(F.round(part(h_a, h_b), 6).alias("homogeneity"), F.round(part(h_b, h_a), 6).alias("completeness"), F.round(rand, 6).alias("adjusted_rand"))
+
+
+def rule_defects(gold: DataFrame, predicted: DataFrame, keys: list[str], family: str, item: str, value: str, whole: str = "service") -> DataFrame:
+    """(keys, family, item, kind, wanted, got): how a list of rules differs from the true one, item by item.
+
+    MISSED: only the true list has the item; INVENTED: only the other has it (HALLUCINATED in the family `whole`); WRONG:
+    both have it with different values. Items are unique per family; null equals null.
+    """
+    on = [*keys, family, item]
+    a = gold.select(*on, F.col(value).alias("wanted")).withColumn("__g", F.lit(True))
+    b = predicted.select(*on, F.col(value).alias("got")).withColumn("__p", F.lit(True))
+    j = a.join(b, on, "full_outer")
+    kind = F.when(F.col("__p").isNull(), "MISSED").when(F.col("__g").isNull(), F.when(F.col(family) == whole, "HALLUCINATED").otherwise("INVENTED")).when(~F.col("wanted").eqNullSafe(F.col("got")), "WRONG")
+    return j.select(*on, kind.alias("kind"), "wanted", "got").where("kind is not null")
+
+
+def family_scores(gold: DataFrame, predicted: DataFrame, keys: list[str], family: str, item: str, value: str) -> DataFrame:
+    """(keys, family, support, tp, fp, fn, precision, recall, f1, invented_rate) over (item, value) pairs per family.
+
+    invented_rate: pairs that the true list lacks in relation to its pairs (to 1, if it has none).
+    """
+    r = set_scores(predicted, gold, [*keys, family, item, value], [*keys, family])
+    return r.select(*keys, family, (F.col("tp") + F.col("fn")).alias("support"), "tp", "fp", "fn", "precision", "recall", "f1", F.round(F.col("fp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn")), 4).alias("invented_rate"))
+
+
+def edge_items(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, dearest, dearest_value, cheapest, cheapest_value): the last and the first of each group in the order value, name."""
+    d = df.where(F.col(value).isNotNull())
+    order = F.struct(F.col(value), F.col(name))
+    g = d.groupBy(*keys).agg(F.max(order).alias("a"), F.min(order).alias("b"))
+    return g.select(*keys, F.col(f"a.{name}").alias("dearest"), F.col(f"a.{value}").alias("dearest_value"), F.col(f"b.{name}").alias("cheapest"), F.col(f"b.{value}").alias("cheapest_value"))
+
+
+def recall_at(retrieved: DataFrame, relevant: DataFrame, query: str, item: str) -> DataFrame:
+    """(n_queries, recall): the share of each query's relevant items among those retrieved, averaged over queries that have any."""
+    n = relevant.groupBy(query).agg(F.count("*").alias("n"))
+    hits = retrieved.select(query, item).distinct().join(relevant.select(query, item).distinct(), [query, item]).groupBy(query).agg(F.count("*").alias("h"))
+    j = n.join(hits, query, "left")
+    return j.agg(F.count("*").alias("n_queries"), F.round(F.avg(F.coalesce("h", F.lit(0)) / F.col("n")), 6).alias("recall"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.bounded import broadcast_if_bounded
+from ledgerloom.session import written
 
 
 def char_ngrams(c: Column, least: int = 2, most: int = 4) -> Column:
@@ -42,6 +43,27 @@ def tfidf(texts: DataFrame, key: list[str], text: str, fitted: DataFrame | None
     return w.select(*key, "gram", (F.col("w") / norm).alias("weight")), fitted
 
 
+class Encoder:
+    """Turns texts into weighted n-grams by weights fitted once; given vectors of a better model, it hands those out instead."""
+
+    def __init__(self, fitted: DataFrame, vectors: DataFrame | None = None):
+        self.fitted, self.vectors = fitted, vectors
+
+    @classmethod
+    def fit(cls, texts: DataFrame, text: str, vectors: DataFrame | None = None) -> Encoder:
+        """Fit on texts; the weights are written, so that every later encoding reads the same. vectors: (text, gram, weight)."""
+        _, idf = tfidf(texts, texts.columns, text)
+        return cls(written(idf, "idf"), vectors)
+
+    def encode(self, texts: DataFrame, key: list[str], text: str) -> DataFrame:
+        """(key, gram, weight): the vectors given for a text if there are any, else those of the fitted n-grams."""
+        own = tfidf(texts, key, text, self.fitted)[0]
+        if self.vectors is None:
+            return own
+        given = texts.select(*key, F.col(text).alias("__text")).join(self.vectors.withColumnRenamed("text", "__text"), "__text").select(*key, "gram", "weight")
+        return given.unionByName(own.join(given.select(*key).distinct(), key, "left_anti"))
+
+
 def lexical_rank(queries: DataFrame, names: DataFrame, block: str, query: str, name: str, order: str) -> DataFrame:
     """(block, query, name, score, rank): the names of the query's block by TF-IDF cosine, ties by `order`; idf is fitted on the names.
 
@@ -83,3 +105,18 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, vec_id: str, vector: st
         top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
     return out
+
+
+def relevant_indexes(vectors: DataFrame, queries: DataFrame, vec_id: str, vector: str, index: str, gate: float = 0.35, block_rows: int = 2_000) -> DataFrame:
+    """(query_id, index, score): the indexes whose entry nearest to a query (itself left out) has at least the score `gate`.
+
+    queries are held against all rows in blocks as in cosine_top_k; a query moves one row per index and partition.
+    """
+    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(index), unit(F.col(vector)).alias("__v"))
+    q = queries.select(F.col(vec_id).alias("query_id"), unit(F.col(vector)).alias("__q"))
+    blocks, out = max(1, -(-q.count() // block_rows)), None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = v.join(F.broadcast(part), F.col("query_id") != F.col("vec_id")).groupBy("query_id", index).agg(F.max(F.round(dot(F.col("__q"), F.col("__v")), 4)).alias("score")).where(F.col("score") >= gate)
+        out = scored if out is None else out.unionByName(scored)
+    return out

@@ -602,20 +602,6 @@ def event_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type", (k % 10).alias("k10")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, 'fenced' AS kind, count(*) AS n FROM events GROUP BY ALL")
-def fenced_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Kinds of replies that carry JSON in a fence."""
-    reply = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
-    return table(spark, sf, "events").groupBy("event_type", loose.payload_kind(reply).alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT event_type, 'ok' AS envelope, count(*) AS n FROM events GROUP BY ALL")
-def envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    """How replies wrap their records."""
-    reply = F.concat(F.lit('{"services": ['), "props", F.lit("]}"))
-    return table(spark, sf, "events").groupBy("event_type", loose.envelope(loose.json_payload(reply)).alias("envelope")).agg(F.count("*").alias("n"))
-
-
 @query(r"""SELECT qa_id, TRY_CAST(CASE WHEN regexp_full_match(x, '-?[0-9]{1,18}(\.0+)?') THEN regexp_replace(x, '\.0+$', '') END AS BIGINT) AS number FROM (SELECT qa_id, replace(trim(answer), ',', '') AS x FROM qa_results)""")
 def lenient_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Answers that are whole numbers, with or without thousands marks."""

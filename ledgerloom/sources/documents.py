@@ -67,10 +67,33 @@ def recordings(texts: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return d.select(*keep, "chunk", F.when(F.trim("v").startswith("{") & whole["reply"].isNotNull(), whole["reply"]).otherwise(F.col("v")).alias("reply"), whole["usage"].alias("usage"))
 
 
-def tagged_csv(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
-    """All CSV files of a glob with the name of their run (the file's stem)."""
-    tag = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return spark.read.schema(schema).options(header="true", multiLine="true", escape='"').csv(glob).withColumn("run", tag)
+def record(df: DataFrame, by: list[str], chunk: Column, reply: Column, usage: Column) -> DataFrame:
+    """(by, recording): the replies of each group as one recording {chunk: {reply, usage}}, chunks in order; of a chunk met twice the last reply.
+
+    A group is one text, so `by` should name groups of bounded size.
+    """
+    entry = F.to_json(F.struct(reply.alias("reply"), usage.alias("usage")))
+    rows = F.array_sort(F.collect_list(F.struct(chunk.alias("c"), entry.alias("e"))))
+    item = lambda x: F.concat(_quoted(x["c"]), F.lit(": "), x["e"])
+    return df.groupBy(*by).agg(rows.alias("__r")).select(*by, F.concat(F.lit("{"), F.array_join(F.transform("__r", item), ", "), F.lit("}")).alias("recording"))
+
+
+def _quoted(c: Column) -> Column:
+    """A string as JSON."""
+    j = F.to_json(F.array(c))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+def write_tagged_csv(df: DataFrame, folder: str, tag: str) -> None:
+    """df as CSV files, a folder `tag=<run>` per run."""
+    df.write.partitionBy(tag).options(header="true", escape='"', quoteAll="true", nullValue="\\N").csv(folder)
+
+
+def tagged_csv(spark: SparkSession, glob: str, schema: T.StructType, tag: str | None = None) -> DataFrame:
+    """All CSV files of a glob with the name of their run: that of their folder `tag=<run>`, else the file's stem."""
+    pattern = rf"/{tag}=([^/]+)/" if tag else r"([^/]+?)(?:\.[^./]*)?$"
+    r = spark.read.schema(schema).options(header="true", multiLine="true", escape='"', nullValue="\\N", recursiveFileLookup="true").csv(glob)
+    return r.withColumn("run", F.url_decode(F.regexp_extract(F.input_file_name(), pattern, 1)) if tag else F.regexp_extract(F.input_file_name(), pattern, 1))
 
 
 def csv_text(df: DataFrame, by: str, columns: list[str], order: str) -> DataFrame:

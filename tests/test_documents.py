@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import loose
+from ledgerloom.functions import loose, records
 from ledgerloom.sources import documents as d
 
 
@@ -36,9 +36,26 @@ def test_runs_are_tagged(spark, tmp_path):
 
 
 def test_rates_in_three_forms(spark):
-    rows = ['{"rates":[{"cents":5,"valid_from":"2024-01-01","valid_to":null}]}', '{"rate":7,"rate_after":8,"change_date":"2025-01-01T00:00"}', '{"rate":9}', '{"x":1}']
-    got = [r.p and [(x.cents, str(x.valid_from), str(x.valid_to)) for x in r.p] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, s string").orderBy("i").select(loose.rate_periods(F.try_parse_json("s")).alias("p")).collect()]
-    assert got == [[(5, "2024-01-01", "None")], [(7, "None", "2024-12-31"), (8, "2025-01-01", "None")], [(9, "None", "None")], None]
+    rows = ['{"rates":[{"cents":5,"valid_from":"2024-01-01","valid_to":null}]}', '{"rate_cents":7,"rate_cents_after":"8","rate_change_date":"2025-01-01T00:00"}', '{"rate_cents":"9"}', '{"x":1}', '{"rates":[{"cents":0}],"rate_cents":4}', '{"rates":[],"rate_cents":4}', '{"rate_cents":true}', None]
+    got = [[(x.cents, str(x.valid_from), str(x.valid_to)) for x in r.p] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, s string").orderBy("i").select(records.rate_periods(F.try_parse_json("s")).alias("p")).collect()]
+    assert got == [[(5, "2024-01-01", "None")], [(7, "None", "2024-12-31"), (8, "2025-01-01", "None")], [(9, "None", "None")], [], [], [(4, "None", "None")], [], []]
+
+
+def test_odd_records_and_replies(spark):
+    read = records.read_record(F.try_parse_json("s"), F.col("t")).alias("r")
+    rows = [(None, "x"), ("{}", "x"), ('{"service": 7, "unit_basis": "hour", "rate_cents": 5}', "costs of 7"), ('{"service": "A", "unit_basis": "hour", "rate_cents": 5, "bundle": {"partner_service": "B", "this_rate_cents": "1", "partner_rate_cents": 2}, "volume_discounts": 3}', None)]
+    got = [r.r for r in spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, s string, t string").orderBy("i").select(read).collect()]
+    assert [r.problems for r in got] == [["no_name"], ["no_name"], [], []] and got[2].service == "7" and got[3].bundle.partner_cents == 2 and got[3].quote_verbatim is None and got[3].discounts == []
+    for text, tag, n in [("[]", "bare_list", 0), ('{"services": 5}', "ok", 0), ('{"rows": [1, 2]}', "key_rows", 2), ('{"data": 1}', "unrecognised", 0), ('{"service": "A"}', "single_object", 1), (None, "unrecognised", 0), ("3", "unrecognised", 0)]:
+        r = spark.createDataFrame([(text,)], "s string").select(records.envelope_tag(F.try_parse_json("s")).alias("t"), F.size(records.payload_records(F.try_parse_json("s"))).alias("n")).first()
+        assert (r.t, r.n) == (tag, n), text
+
+
+def test_recordings_come_back(spark):
+    df = spark.createDataFrame([("m", 1, 'say "x"\n', 3), ("m", 2, None, None), ("n", 1, "{y}", 0)], "m string, c int, r string, k long")
+    out = d.recordings(d.record(df, ["m"], F.col("c").cast("string"), F.coalesce("r", F.lit("")), F.struct(F.col("k").alias("input_tokens"))), "recording", ["m"])
+    assert sorted((r.m, r.chunk, r.reply, r.usage.input_tokens) for r in out.where("usage.input_tokens is not null").collect()) == [("m", "1", 'say "x"\n', 3), ("n", "1", "{y}", 0)]
+    assert out.count() == 3
 
 
 def test_money_forms(spark):

@@ -37,9 +37,6 @@ def test_json_replies(spark):
         assert one(spark, loose.payload_kind, text) == kind, text
         got = one(spark, lambda c: F.try_variant_get(loose.json_payload(c), "$.a", "int"), text)
         assert got == (None if kind == "none" else 1)
-    kinds = {'{"services":[1]}': "ok", "[1,2]": "bare_list", '{"service":"A"}': "single_object", '{"items":[1]}': "renamed", '{"nope":1}': "empty"}
-    for text, kind in kinds.items():
-        assert one(spark, lambda c: loose.envelope(loose.json_payload(c)), text) == kind
 
 
 def test_character_ngrams_and_weights(spark):
@@ -79,3 +76,34 @@ def test_clauses_are_whole(spark):
     df = spark.createDataFrame([(1, f"# Terms\n\n{long}\n\nshort")], "id long, t string")
     got = markup.clauses(df, ["id"], "t").collect()
     assert [(r.heading, r.clause, r.entry) for r in got] == [("Terms", long, long[:1800])]
+
+
+def test_tables_headings_and_odd_texts(spark):
+    text = "| A | B |\n|---|---|\n| 1 | 2 |\n| 3 | - |\n| 5 | 6 |\ntext\n|X|\n|7|\n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "|"), (5, "a | b"), (6, "## T\nx\n## T\ny")], "id int, text string")
+    rows = [(r.id, r.line, r.header, r.cells) for r in markup.table_rows(df, ["id"], "text").orderBy("id", "line").collect()]
+    assert rows == [(1, 2, ["A", "B"], ["1", "2"]), (1, 3, ["A", "B"], ["3", None]), (1, 4, ["A", "B"], ["5", "6"]), (1, 7, ["X"], ["7"])]
+    lots = markup.table_batches(markup.table_rows(df, ["id"], "text"), ["id"], 2).orderBy("first").collect()
+    assert [(r.first, r.last, r.text) for r in lots] == [(1, 2, "| A | B |\n| 1 | 2 |\n| 3 |  |"), (3, 3, "| A | B |\n| 5 | 6 |")]
+    assert [(r.id, r.seq, r.body) for r in markup.last_sections(markup.sections(df, ["id"], "text"), ["id"]).collect()] == [(6, 1, "y")]
+    assert markup.clauses(df, ["id"], "text", least=1).where("id in (2, 3)").count() == 0
+
+
+def test_articles_by_heading_or_number(spark):
+    df = spark.createDataFrame([(1, "## Rates\n1.1 In respect of A\n1.2 In respect of B\n## Other\n2.1 In respect of C"), (2, "1.1 In respect of A\nmore\n2.1 In respect of B\n1.2 In respect of C"), (3, "nothing"), (4, None)], "id int, text string")
+    got = sorted((r.id, r.title, r.n_clauses, r.text) for r in markup.articles(df, ["id"], "text", "RATES", r"^\d+\.\d+ In respect of").collect())
+    assert [g[:3] for g in got] == [(1, "Rates", 2), (2, "Article 1", 2), (2, "Article 2", 1)] and got[1][3] == "1.1 In respect of A\nmore\n\n1.2 In respect of C"
+
+
+def test_forms_and_money(spark):
+    assert one(spark, lambda c: loose.number_forms(c.cast("long")), "12") == ["12", "twelve"] and one(spark, lambda c: loose.number_forms(c.cast("long")), "21") == ["21"]
+    assert one(spark, lambda c: loose.percent_forms(c.cast("decimal(6,4)")), "0.075") == ["7.5%", "7.5 %", "7.5 percent", "7.5 per cent"]
+    assert [one(spark, loose.has_money, x) for x in ("GBP 5", "£7", "12.50", "500 cents", "5 cents", "none")] == [True, True, True, True, False, False]
+
+
+def test_an_encoder_is_fitted_once_and_prefers_given_vectors(spark):
+    names = spark.createDataFrame([("gait study",), ("scar care",)], "t string")
+    texts = spark.createDataFrame([(1, "gait care"), (2, "zzz")], "id int, t string")
+    e = similarity.Encoder.fit(names, "t", spark.createDataFrame([("zzz", "v0", 1.0)], "text string, gram string, weight double"))
+    got = e.encode(texts, ["id"], "t").collect()
+    assert [(r.gram, r.weight) for r in got if r.id == 2] == [("v0", 1.0)] and abs(sum(r.weight**2 for r in got if r.id == 1) - 1) < 1e-9

@@ -91,3 +91,43 @@ def test_extremes_keep_ties(spark):
 def test_checks_never_flag_nulls(spark):
     lines = spark.createDataFrame([("c", "i", "s", "l1", 2, 5, 10), ("c", "i", "s", "l2", 2, 5, 11), ("c", "i", "s", "l3", None, 5, 11)], "contract_id string, invoice_id string, source_seq string, line_id string, quantity long, unit_price_cents long, line_total_cents long")
     assert [r.detail for r in checks.line_arithmetic(lines).collect()] == ["l2"]
+
+
+def test_exact_quantiles_and_best_two_with_hot_groups(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [("hot", rng.choice([1.0, 2.5, rng.random() * 100]), f"n{i}") for i in range(900)] + [("one", 7.0, "a"), ("none", None, "b"), (None, 3.0, "c"), (None, 5.0, "d")]
+    df = spark.createDataFrame(rows, "g string, v double, n string")
+    got = {r.g: r for r in scores.spread(df, ["g"], "v").collect()}
+    hot = sorted(v for g, v, _ in rows if g == "hot")
+    at = lambda q: hot[int(q * (len(hot) - 1))] + (hot[min(len(hot) - 1, int(q * (len(hot) - 1)) + 1)] - hot[int(q * (len(hot) - 1))]) * (q * (len(hot) - 1) % 1)
+    assert abs(got["hot"].median - statistics.median(hot)) < 1e-6 and abs(got["hot"].p95 - at(0.95)) < 1e-5
+    assert (got["one"].median, got["none"].n, got["none"].median, got[None].median) == (7.0, 0, None, 4.0)
+    assert scores.spread(df, [], "v").first().n == 903 and scores.spread(df.limit(0), ["g"], "v").count() == 0
+    two = {r.g: (r.best, r.second) for r in ordered.best_two(df.where("v is not null"), ["g"], "n", "v").collect()}
+    want = sorted([(-v, n) for g, v, n in rows if g == "hot"])[:2]
+    assert two["hot"] == (want[0][1], want[1][1]) and two["one"] == ("a", None) and two[None] == ("d", "c")
+
+
+def test_only_hot_keys_are_spread(spark):
+    from ledgerloom.operators.bounded import hot_keys, salted_join
+
+    big = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(400)] + [(None, 1)] * 99, "k string, x int")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k7", 3), (None, 4)], "k string, y int")
+    assert hot_keys(big, ["k"]) == [("hot",)]
+    assert salted_join(big, small, ["k"]).count() == 1001 and salted_join(big, small, ["k"], "left").count() == 999 + 500
+    assert salted_join(big, small, ["k"], "left_anti").count() == 399 + 99 and salted_join(big, small, ["k"], "left_semi").count() == 501
+    assert salted_join(big, small, ["k"], "inner", None, F.col("x") < F.col("y")).count() == 3
+
+
+def test_defects_of_rules(spark):
+    gold = spark.createDataFrame([("c", "service", "A", ""), ("c", "cap", "A", "5"), ("c", "cap", "B", None)], "c string, f string, i string, v string")
+    other = spark.createDataFrame([("c", "service", "Z", ""), ("c", "cap", "A", "6"), ("c", "cap", "B", None), ("c", "cap", "Q", "1")], "c string, f string, i string, v string")
+    got = {(r.f, r.i): r.kind for r in scores.rule_defects(gold, other, ["c"], "f", "i", "v").collect()}
+    assert got == {("service", "A"): "MISSED", ("service", "Z"): "HALLUCINATED", ("cap", "A"): "WRONG", ("cap", "Q"): "INVENTED"}
+    r = {x.f: x for x in scores.family_scores(gold, other, ["c"], "f", "i", "v").collect()}
+    assert (r["service"].f1, r["service"].invented_rate) == (0.0, 1.0)
+    retrieved, relevant = spark.createDataFrame([(1, 1), (1, 2), (2, 9)], "q int, i int"), spark.createDataFrame([(1, 1), (1, 3), (2, 8)], "q int, i int")
+    assert tuple(scores.recall_at(retrieved, relevant, "q", "i").first()) == (2, 0.25)
