@@ -61,6 +61,7 @@ def orphan_references(children: DataFrame, parents: DataFrame, record: Column, r
     doubtful = keys.join(spans, F.col("ref_key") == F.col("key"), "left").where(F.col("key").isNull() | ~((F.col("n") == 1) & (F.col("first") <= F.col("t0")) & (F.col("t1") < F.col("last"))))
     doubtful = written(doubtful.select("ref_key", F.col("key").isNotNull().alias("known"), "first"), "doubtful")
     back = lookup_join(c, doubtful, ["ref_key"], salt_of=["src_key"]).groupBy("src_key", "ref_key", "known", "first").agg(F.min("t").alias("t"))
+    back = written(back, "back")  # the few records in doubt, read several times below
     missing = back.where("not known").select("src_key", "ref_key", "t", F.lit("missing").alias("orphan_kind"))
     kept = back.where("known")
     spans = there.withColumnRenamed("key", "ref_key").join(broadcast_if_bounded(doubtful.where("known").select("ref_key")), "ref_key", "left_semi")
