@@ -5,10 +5,11 @@ letter pairs of the consonant skeletons of its words, which survive typing error
 and changed order. Sets are ordered by global rarity; only the rare prefixes that any pair above the threshold must
 share are joined, with length and positional filters, and Jaccard is then computed exactly on the candidates.
 
-The second stage reads each value against its candidates word by word and keeps the best: every word of the value that
-resembles a word used anywhere in the list must stand for a word of the entry (as it is, mistyped, misread, cut short,
-without vowels or run together); words that resemble nothing in the list are trimmings. An entry may have words the
-value leaves out, if no other entry of the block fits as well.
+The second stage reads each value against its candidates word by word: every word of the value that resembles a word used
+anywhere in the list must stand for a word of the entry (as it is, mistyped, misread, cut short, without vowels or run
+together), else the entry is out; words that resemble nothing in the list are trimmings. Of the entries left the best by
+the exact Jaccard similarity of the words so read is kept, then the one read at the least cost. An entry may have words
+the value leaves out, if no other entry of the block fits as well.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from ledgerloom.session import ship_package, written
 
 #: Jaccard of skeleton pairs from which an entry is a candidate.
 MIN_JACCARD = 0.25
-#: Different words of the list up to which they are sent to the executors (about 60 bytes each).
+#: Different words of the list that are sent to the executors at a time (about 60 bytes each); longer lists are read in blocks.
 MAX_LIST_WORDS = 200_000
 
 #: Marked letters and the plain letters they are read as.
@@ -192,6 +193,16 @@ class Vocabulary:
         return tuple(sorted(found, key=lambda f: (f[1], f[0])))
 
 
+class Near:
+    """The list's words that each of some words may stand for, worked out before."""
+
+    def __init__(self, words: dict[str, tuple[tuple[str, float], ...]]):
+        self.words = words
+
+    def best(self, w: str) -> tuple[tuple[str, float], ...]:
+        return self.words.get(w, ())
+
+
 def _runs(entry: tuple[str, ...]) -> dict[str, tuple[int, ...]]:
     """The entry's neighbouring words written as one."""
     return {"".join(entry[i:j]): tuple(range(i, j)) for i in range(len(entry)) for j in range(i + 2, len(entry) + 1)}
@@ -206,7 +217,7 @@ def _sureness(x: tuple[tuple[tuple[str, float], ...], str]) -> tuple[int, float,
     return int(w != best[0][0] and best[0][0].startswith(w)), best[0][1], -len(w)
 
 
-def fit(words: tuple[str, ...], entry: tuple[str, ...], vocabulary: Vocabulary, slack: float = 0.0) -> tuple[int, float] | None:
+def fit(words: tuple[str, ...], entry: tuple[str, ...], vocabulary: Vocabulary | Near, slack: float = 0.0) -> tuple[int, float] | None:
     """(words of the entry that are named, cost), or None if some word of the value speaks against the entry."""
     free, cost, named = set(range(len(entry))), 0.0, 0
     runs = None
@@ -245,7 +256,7 @@ def fit(words: tuple[str, ...], entry: tuple[str, ...], vocabulary: Vocabulary,
     return (named, cost) if named else None
 
 
-def choose(value: str, candidates: list[tuple[str, tuple[str, ...], float]], vocabulary: Vocabulary) -> tuple[str | None, float]:
+def choose(value: str, candidates: list[tuple[str, tuple[str, ...], float]], vocabulary: Vocabulary | Near) -> tuple[str | None, float]:
     """The candidate that the value stands for with a confidence, or (None, confidence that it is none)."""
     words = tuple(words_of(value))
     if not words:
@@ -253,8 +264,9 @@ def choose(value: str, candidates: list[tuple[str, tuple[str, ...], float]], voc
     scored = []
     for name, entry, jaccard in candidates:
         f = fit(words, entry, vocabulary)
-        if f and f[0] * 2 >= len(entry):
-            scored.append((-f[0], f[1], -jaccard, name, len(entry)))
+        if f:
+            # All words that count are read as words of the entry, so these are the union and the words named are what both have.
+            scored.append((-f[0] / len(entry), f[1], -jaccard, name, len(entry), f[0]))
     if not scored:
         return None, 0.9
     scored.sort()
@@ -262,7 +274,10 @@ def choose(value: str, candidates: list[tuple[str, tuple[str, ...], float]], voc
     rivals = [s for s in scored[1:] if s[0] == best[0] and s[1] <= best[1] + 0.01]
     if rivals:
         return None, 0.4
-    left_out = best[4] + best[0]
+    # Less than half of an entry's words name it only if nothing else fits and they are written as in the list.
+    if best[5] * 2 < best[4] and (len(scored) > 1 or best[1] > 0.05 * len(words)):
+        return None, 0.9
+    left_out = best[4] - best[5]
     return best[3], round(max(0.5, 0.98 - 0.06 * left_out - 0.04 * min(best[1], 5.0)), 3)
 
 
@@ -272,7 +287,7 @@ def map_to_list(values: DataFrame, block: str, value: str, entries: DataFrame, e
     `match` is null for values that stand for no entry, or for several equally well. Null values or blocks give no rows; blank
     values, values without letters and blocks without entries are unmatched. An empty list leaves every value unmatched.
     Other columns of the tables, whatever their names, are not touched. Sizes: the list's different words (not its rows)
-    are sent to the executors after their number is checked against MAX_LIST_WORDS.
+    are sent to the executors, MAX_LIST_WORDS at a time; a longer list is read in as many blocks.
     """
     e = entries.select(F.col(entry_block).alias("block"), F.col(entry).alias("entry")).where("block is not null and entry is not null").distinct()
     v = values.select(F.col(block).alias("block"), F.col(value).alias("value")).where("block is not null and value is not null").distinct()
@@ -284,21 +299,58 @@ def map_to_list(values: DataFrame, block: str, value: str, entries: DataFrame, e
     pairs = prefix_join(v.select("block", "vid", "toks"), e.select("block", "eid", "toks"), min_jaccard)
     named = lookup_join(pairs, e.select("eid", "entry"), ["eid"], salt_of=["vid"])
     grouped = named.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("jaccard", "entry")), asc=False).alias("candidates"))
-    read = v.select("block", "value", "vid").join(grouped, "vid", "left").drop("vid")
+    read = v.select("block", "value", "vid").join(grouped, "vid", "left")
 
     plain = F.translate(F.lower("entry"), MARKED, PLAIN)
-    found = e.select(F.explode(F.split(plain, "[^a-z0-9]+")).alias("w")).where("length(w) >= 2").distinct().limit(MAX_LIST_WORDS + 1).collect()
-    if len(found) > MAX_LIST_WORDS:
-        raise ValueError(f"the list has more than {MAX_LIST_WORDS} different words; split it by block")
-    shared = e.sparkSession.sparkContext.broadcast([r.w for r in found])
+    listed = e.select(F.explode(F.split(plain, "[^a-z0-9]+")).alias("w")).where("length(w) >= 2").distinct()
+    number = listed.count()
+    blocks = max(1, -(-number // MAX_LIST_WORDS))
+    sc = e.sparkSession.sparkContext
+    ship_package(e.sparkSession)
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("value", T.StringType()), T.StructField("match", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    if blocks == 1:
+        shared = sc.broadcast([r.w for r in listed.collect()])
+    else:
+        read, shared = read.join(_near_words(v, written(listed, "listed"), blocks), "vid", "left"), None
 
     def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary(shared.value)
+        vocabulary = Vocabulary(shared.value) if shared is not None else None
         split = lru_cache(100_000)(lambda s: tuple(words_of(s)))
         for b in batches:
-            out = [choose(x, [(c["entry"], split(c["entry"]), c["jaccard"]) for c in (cs if cs is not None else ())], vocabulary) for x, cs in zip(b["value"], b["candidates"])]
+            near = b["near"] if "near" in b else [None] * len(b)
+            out = [
+                choose(x, [(c["entry"], split(c["entry"]), c["jaccard"]) for c in (cs if cs is not None else ())], vocabulary or Near({w["w"]: tuple((y["x"], y["cost"]) for y in w["best"]) for w in (ws if ws is not None else ())}))
+                for x, cs, ws in zip(b["value"], b["candidates"], near)
+            ]
             yield pd.DataFrame({"block": b["block"], "value": b["value"], "match": [m for m, _ in out], "confidence": [c for _, c in out]})
 
-    ship_package(e.sparkSession)
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("value", T.StringType()), T.StructField("match", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    return read.mapInPandas(read_batches, schema)
+    return read.drop("vid").mapInPandas(read_batches, schema)
+
+
+def _near_words(values: DataFrame, listed: DataFrame, blocks: int) -> DataFrame:
+    """(vid, near): for each value its words that may stand for words of the list, with these and what it costs.
+
+    The different words of the values are held against the list's words, one block of these after the other.
+    """
+    sc = values.sparkSession.sparkContext
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, w) for i, x in zip(b["vid"], b["value"]) for w in dict.fromkeys(words_of(x))]
+            yield pd.DataFrame(rows, columns=["vid", "w"])
+
+    words = written(values.select("vid", "value").mapInPandas(split, "vid long, w string"), "words")
+    different, near = written(words.select("w").distinct(), "different"), None
+    for k in range(blocks):
+        shared = sc.broadcast([r.w for r in listed.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k).collect()])
+
+        def look(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            vocabulary = Vocabulary(shared.value)
+            for b in batches:
+                yield pd.DataFrame([(w, x, c) for w in b["w"] for x, c in vocabulary.best(w)], columns=["w", "x", "cost"])
+
+        part = different.mapInPandas(look, "w string, x string, cost double")
+        near = part if near is None else near.unionByName(part)
+    best = near.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("cost", "x"))).alias("best"))
+    found = lookup_join(words, written(best, "near"), ["w"], "inner", ["vid"])
+    return found.groupBy("vid").agg(F.collect_list(F.struct("w", "best")).alias("near"))

@@ -105,3 +105,25 @@ def test_skeletons(spark):
     got = spark.createDataFrame([("Gáit Study",), ("",), (None,)], "s string").select(skeleton_sets(F.col("s")).alias("t")).collect()
     assert got[0].t == sorted({"^g", "gt", "^s", "st", "td", "dy"}) and got[1].t == [] and got[2].t is None
     assert canonical.MIN_JACCARD == 0.25
+
+
+def test_lists_of_any_length_are_read_in_blocks(spark, monkeypatch):
+    from ledgerloom.llm import canonical
+
+    rng = random.Random(11)
+    names = [" ".join(rng.sample(["Rapid", "Spinal", "Gait", "Study", "Thermal", "Graft", "Removal", "Podiatric", "Swallow", "Review", "Biopsy", "Sampling"], 3)) for _ in range(40)]
+    typed = [rng.choice(names) for _ in range(120)]
+    typed = [t.lower() if i % 3 == 0 else t.replace("a", "", 1) if i % 3 == 1 else " ".join(t.split()[::-1]) for i, t in enumerate(typed)] + ["Xylophone", "", "12"]
+    v = spark.createDataFrame([(rng.choice("ab"), t) for t in typed], "b string, v string")
+    e = spark.createDataFrame([(b, n) for b in "ab" for n in names], "b string, e string")
+    run = lambda: sorted(map(tuple, map_to_list(v, "b", "v", e, "b", "e").collect()), key=str)
+    want = run()
+    monkeypatch.setattr(canonical, "MAX_LIST_WORDS", 4)
+    assert run() == want and sum(m is not None for _, _, m, _ in want) > 60
+
+
+def test_a_single_word_names_an_entry_if_nothing_else_fits(spark):
+    e = spark.createDataFrame([("a", "Planned Lactation Gait Assessment"), ("a", "Rapid Spinal Gait Study"), ("a", "Rapid Dental Cast Removal")], "b string, e string")
+    v = spark.createDataFrame([("a", "lactation"), ("a", "gait"), ("a", "Lactatin"), ("a", "dental rapid"), ("a", "lactation dental")], "b string, v string")
+    got = {r.value: r.match for r in map_to_list(v, "b", "v", e, "b", "e", 0.1).collect()}
+    assert got == {"lactation": "Planned Lactation Gait Assessment", "gait": None, "Lactatin": None, "dental rapid": "Rapid Dental Cast Removal", "lactation dental": None}
