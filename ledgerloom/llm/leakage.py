@@ -1,10 +1,10 @@
 """Held-out passages that got into a corpus, found by spaced-seed hashing.
 
-A seed is a fixed mask over neighbouring words; a 0 in it is a word that is ignored. The two masks together hit every
-stretch of 20 words or more in which at most one word in ten is replaced or added: with an added word some seven
-neighbouring words stay as they are, and so they do with replaced words, except where two of them leave six words each,
-which the second mask spans. Seeds of the passages are joined with those of every word position of the corpus, and
-around each hit the longest stretch within the tolerance is worked out exactly.
+A seed is a fixed mask over neighbouring words; a 0 in it is a word that is ignored. The mask hits every stretch of 20
+words or more in which at most one word in ten is replaced or added: the edits leave seven neighbouring words as they are
+somewhere, except two replaced words that leave six before, between and after them, and there the mask lies across a
+replaced word. Seeds of the passages are joined with those of every word position of the corpus, and around each hit the
+longest stretch within the tolerance is worked out exactly.
 
 The corpus isn't shuffled: the seeds of the passages go to the executors in blocks of a checked size, and a corpus
 is read once per block. Documents are handled one at a time, so a hot source or a long text changes nothing.
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ledgerloom.session import ship_package
 
 #: The masks. Completeness as said above holds for at least MIN_WORDS words and one edit in PER_EDIT.
-MASKS = ("1111111", "1111110111111")
+MASKS = ("1110111",)
 MIN_WORDS, PER_EDIT = 20, 10
 #: Every stretch within the tolerance holds one with at most so many edits. Cut at neighbouring edits, it leaves two
 #: parts of which one is within the tolerance, and long enough if it has two edits. So a stretch that holds no smaller one
